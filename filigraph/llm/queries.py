@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigraph.llm import canonical, components, survivors, variants
-from filigraph.tables import table
+from filigraph.llm import canonical, components, mixing, neighbours, packing, residue, survivors, tokens, variants
+from filigraph.tables import cut, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_pairs(spelt, table(spark, folder, "companies").select(F.col("ticker").alias("symbol"), "name"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 5: pairs of chunks of which one is among the five nearest of the other."""
+    return neighbours.nearest_pairs(table(spark, folder, "nova_embeddings"), "chunkid", "embedding")
+
+
 def p6_fused(spark: SparkSession, folder: str) -> DataFrame:
     """Problem 6: survivor, donor and fused value of every field of every duplicate group."""
     return survivors.fused_values(table(spark, folder, "snapshot_entities"))
@@ -37,9 +42,45 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_fused(spark, folder).select("survivor_id", "prop", "donor_id")
 
 
+#: Sources that one container may not mix.
+APART = (("call_notes", "press"), ("press", "proxy"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 8: every document, or piece of one, in a container of each size."""
+    sized = cut(tokens.sized_documents(table(spark, folder, "documents")))
+    return packing.packed(sized, table(spark, folder, "container_sizes"), APART)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 8: how full the containers of each size are."""
+    return packing.fill_rates(p8_packed(spark, folder), table(spark, folder, "container_sizes"))
+
+
+def p9_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 9: a selection in which the sources have their target shares."""
+    return mixing.mixed(tokens.sized_documents(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 9: the shares that the selection reaches."""
+    return mixing.reached_shares(p9_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 10: documents that are, or contain, template residue, filler or notices."""
+    return residue.residue_documents(table(spark, folder, "documents"))
+
+
+def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 10: the documents without residue, counted by source and language."""
+    kept = residue.without_residue(table(spark, folder, "documents"))
+    return kept.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p6_fused)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
