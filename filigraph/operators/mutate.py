@@ -113,8 +113,9 @@ def redirect_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def combine_by_name(nodes: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """One row per name; of each column the sorted distinct values, joined by `` | `` where they conflict."""
-    return nodes.filter(F.col(name).isNotNull()).groupBy(name).agg(*(F.array_join(F.array_sort(F.collect_set(c)), " | ").alias(c) for c in columns))
+    """One row per name; of each column the sorted distinct values, joined by `` | `` where they conflict, null if none."""
+    sets = nodes.filter(F.col(name).isNotNull()).groupBy(name).agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in columns))
+    return sets.withColumns({c: F.when(F.size(c) > 0, F.array_join(c, " | ")) for c in columns})
 
 
 def key_violations(nodes: DataFrame, key: str) -> DataFrame:
