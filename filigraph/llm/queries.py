@@ -78,6 +78,19 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
+_P3 = """with recursive m as (select entity_a_element_id a, entity_b_element_id b from merge_decisions where regexp_replace(lower(decision), '[^a-z]', '', 'g') in ('merge', 'merged', 'tomerge', 'domerge')),
+e as (select a, b from m where a <> b and trim(a) <> '' and trim(b) <> '' union select b, a from m where a <> b and trim(a) <> '' and trim(b) <> ''),
+reach(id, other) as (select a, b from e union select r.id, e.b from reach r join e on e.a = r.other)
+select least(id, min(other)) group_id, id element_id from reach group by id"""
+_STAND_INS = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
+_P6 = f"""with last as (select element_id, arg_max({{'label': label, 'name': name, 'p': properties, 'c': source_chunks, 'n': relationship_count}}, exported_at) r from snapshot_entities where element_id is not null group by 1),
+f as (select element_id, r.label, r.name, r.n rel, coalesce(len(list_distinct(list_filter(r.c, lambda x: x is not null))), 0) chunks,
+list_filter(map_entries(r.p), lambda x: not starts_with(x.key, '__') and x.value is not null and regexp_matches(x.value, '[\\p{{L}}\\p{{N}}]') and lower(trim(x.value)) not in ({_STAND_INS})) props from last where trim(r.name) <> ''),
+k as (select *, row_number() over (partition by label, name order by coalesce(len(props), 0) desc, rel desc nulls last, chunks desc, element_id) rn, count(*) over (partition by label, name) n from f),
+s as (select label, name, element_id survivor from k where rn = 1 and n > 1), v as (select label, name, element_id, rn, unnest(props).key prop from k where n > 1)
+select s.survivor survivor_id, v.prop, arg_min(v.element_id, v.rn) donor_id from v join s on s.label = v.label and s.name = v.name group by 1, 2"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_kept)}
@@ -85,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {}
+    return {"p3_found": _P3, "p6_found": _P6}
