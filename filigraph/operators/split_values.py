@@ -242,6 +242,20 @@ def split_array(texts: pa.Array, offices: bool) -> tuple[np.ndarray, np.ndarray,
     return ordinal, np.arange(len(items)) - child[ordinal] + 1, lists.flatten()
 
 
+#: Bytes of text whose masks are held at a time; a longer text is taken alone, whole.
+SLICE_BYTES = 2_000_000
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` (key, text) in runs of rows of about :data:`SLICE_BYTES` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def split_values(df: DataFrame, key: str, text: str, source_table: str, offices: bool = False) -> DataFrame:
     """(source_table, record_id, pos, item): one row per value of every text of ``df`` that holds at least two.
 
@@ -250,7 +264,7 @@ def split_values(df: DataFrame, key: str, text: str, source_table: str, offices:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b)):
             ordinal, pos, items = split_array(batch.column(1), offices)
             ids = batch.column(0).take(pa.array(ordinal)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), items.cast(pa.string())], ["record_id", "pos", "item"])
