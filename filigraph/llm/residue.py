@@ -87,12 +87,27 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> np.uint64(47)).astype(np.int64), bounds, data
 
 
+#: Bytes of text that are scored at a time; a longer text is scored alone, whole.
+SLICE_BYTES = 2_000_000
+
+
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have about :data:`SLICE_BYTES` bytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def natural_counts(documents: DataFrame, text: str) -> np.ndarray:
     """Hashed 4-gram counts over all documents; a table of fixed size per partition is all that moves."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 0)):
             grams, _, _ = _grams(_normal(batch.column(0)))
             total += np.bincount(grams, minlength=BUCKETS)
         at = np.flatnonzero(total)
@@ -170,7 +185,7 @@ def residue_cover(documents: DataFrame, key: str, text: str) -> DataFrame:
     tables = documents.sparkSession.sparkContext.broadcast(ratio_tables(natural_counts(documents, text)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 1)):
             texts = batch.column(1)
             normal = _normal(texts)
             grams, bounds, data = _grams(normal)
