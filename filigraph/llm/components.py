@@ -2,14 +2,16 @@
 
 Every vertex v keeps a cluster set C(v), stored as rows (v, u), which starts as its neighbours and itself.
 In each round v sends its whole set to the smallest member m of it and sends m to every member; the new sets
-are what arrived. When nothing changes, the smallest vertex of a component holds the component and every other
-vertex holds that smallest vertex. Sets are never gathered into one row: a hub's set is as many rows as it has
+are what arrived. In the end the smallest vertex of a component holds the component and every other vertex holds that
+smallest vertex; components that have come so far leave the rounds at once, so only deep ones go on. Sets are never gathered into one row: a hub's set is as many rows as it has
 members, so it spreads over tasks, the minimum is taken with map-side combining, and the join back to the rows
 is one that adaptive execution may split where a vertex is hot.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,27 +38,28 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) ->
         ends = ends.filter((F.trim("v") != "") & (F.trim("u") != ""))
     once = ends.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u")).distinct()
     both = F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))
-    # The first round is known without a join for the smaller end: every edge's ends also hold themselves.
     state = cut(once.select(F.explode(both).alias("e")).select("e.v", "e.u"))
-    smallest = lambda s: s.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-    seen = None
+    settled = []
     for _ in range(max_rounds):
-        low = smallest(state)
-        sent = state.join(low, "v").select(
+        per = state.groupBy("v").agg(F.min("u").alias("u"), F.count(F.lit(1)).alias("size"), F.count_if(F.col("u") == F.col("v")).alias("self"))
+        low = cut(per.select("v", F.least("v", "u").alias("m"), "size", "self"))
+        # u is in C(m) exactly if m is in C(u); so a smallest vertex all of whose members know nothing but it is done
+        leaves = low.filter("size = 1 and m <> v").groupBy(F.col("m").alias("v")).agg(F.count(F.lit(1)).alias("leaves"))
+        done = low.filter("m = v").join(leaves, "v").filter("size - self = leaves").select(F.col("v").alias("m"))
+        settled.append(cut(low.join(done, "m").select(F.col("m").alias("group_id"), F.col("v").alias("element_id"))))
+        active = low.join(done, "m", "left_anti").select("v", "m")
+        sent = state.join(active, "v").select(
             F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")
         )
-        # v itself belongs to C(v): it is sent to m, and m to it.
-        own = low.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
+        # v itself belongs to C(v): it is sent to m, and m to it
+        own = active.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
         new = cut(sent.union(own).select("e.v", "e.u").distinct())
         drop_cut(state)
+        drop_cut(low)
         state = new
-        now = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    return smallest(state).select(F.col("m").alias("group_id"), F.col("v").alias("element_id"))
+        if state.isEmpty():
+            return reduce(DataFrame.union, settled)
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def merge_groups(decisions: DataFrame) -> DataFrame:
