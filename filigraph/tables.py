@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,17 @@ def drop_cut(df: DataFrame) -> None:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_filigraph_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='spark-')}/filigraph.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for part in sorted(here.rglob("*.py")):
+            file.write(part, part.relative_to(here.parent))
+    context.addPyFile(archive)
+    context._filigraph_shipped = True
