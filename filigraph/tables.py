@@ -30,6 +30,8 @@ def cut(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/filigraph-{uuid.uuid4().hex}"
     (df.select(*columns) if columns else df).write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # it goes when the application ends
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     read = spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
     read._filigraph_path = path
     return read
