@@ -150,7 +150,10 @@ def split_array(texts: pa.Array, offices: bool) -> tuple[np.ndarray, np.ndarray,
     mark(slash & spaced, 1)
     mark(slash & ((at == start[row]) | (at == end[row] - 1)) & (cut_len == 0) & (prev != ord("/")), 1)
     # bullets "- " at the start of a line, numbering "1. " and "(1) " at the start or after a blank
-    line = np.isin(prev, (10, 13))
+    feeds = np.cumsum(np.isin(data, (10, 13)))
+    before_at = np.clip(at - 1, 0, size - 1)
+    # only blanks between a line's start, or the text's, and this byte
+    line = (left == 10) | (feeds[before_at] > feeds[np.clip(back[before_at], 0, size - 1)])
     mark((data == ord("-")) & line & (nxt == 32), 2)
     digit = _DIGIT[data]
     fresh = (at == start[row]) | space[np.clip(at - 1, 0, size - 1)]

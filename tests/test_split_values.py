@@ -57,6 +57,11 @@ def test_titles(text, want):
     assert [x for _, _, x in rows([text], offices=True)] == want
 
 
+def test_indented_bullets():
+    assert [x for _, _, x in rows(["  - a b\n   - c d "])] == ["a b", "c d"]
+    assert rows(["low-power set - small"]) == []
+
+
 def test_prose_stays_whole():
     for text in ("Sold to ports, mills and schools; prices vary by region.", "Built for farms, clinics and airlines - support is billed apart!", "Our plan for schools, libraries and other bodies / non-profits."):
         assert rows([text]) == []
