@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,7 @@ def honorific_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
 
 def weighted_ratio(a: str, b: str) -> float:
     """Similarity of two names in [0, 1]: the best of plain, sorted-word, word-set and partial matching."""
-    clean = lambda s: " ".join("".join(c if c.isalnum() else " " for c in s.lower()).split())
-    x, y = clean(a), clean(b)
+    x, y = _clean(a), _clean(b)
     if not x or not y:
         return 0.0
     ratio = lambda p, q: SequenceMatcher(None, p, q, autojunk=False).ratio()
@@ -68,22 +68,121 @@ def weighted_ratio(a: str, b: str) -> float:
     return best
 
 
+#: Cleaned names per block: two blocks meet in one group, so this bounds what a Python worker holds.
+BLOCK = 2000
+#: Character classes whose counts bound a score: letters, digits, the blank, and the rest by code point.
+CLASSES = 48
+
+
+def _clean(name: str) -> str:
+    """Lower case, everything but letters and digits a blank, blanks collapsed; what scores look at."""
+    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split())
+
+
+def _counts(name: str) -> np.ndarray:
+    out = np.zeros(CLASSES, dtype="uint16")
+    for c in name:
+        out[ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) - 48 if "0" <= c <= "9" else 36 if c == " " else 37 + ord(c) % 11] += 1
+    return out
+
+
+def _common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits; matching blocks never cover more."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & where.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+class _Block:
+    """Cleaned names with what bounds their scores: character counts, lengths, and the places of each word."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.sorted = names, [" ".join(sorted(n.split())) for n in names]
+        self.words = [sorted(set(n.split())) for n in names]
+        self.counts = np.stack([_counts(n) for n in names], axis=1)
+        self.length = np.array([len(n) for n in names], dtype="float64")
+        self.distinct = np.array([sum(map(len, w)) + len(w) - 1 for w in self.words], dtype="float64")
+        places: dict[str, list[int]] = {}
+        for i, words in enumerate(self.words):
+            for w in words:
+                places.setdefault(w, []).append(i)
+        self.places = {w: np.array(at) for w, at in places.items()}
+
+    def near(self, other: _Block, i: int, start: int, threshold: float) -> Iterator[int]:
+        """Places from ``start`` on whose score with name ``i`` of ``other`` may reach ``threshold``; none that does is left out.
+
+        The score is at most what the common characters would give if all of them matched in order, in the plain names,
+        the sorted and the distinct words; word sets are exact by the length of their common words.
+        """
+        least = threshold - 1e-6  # scores are rounded before they are compared
+        shared = np.minimum(self.counts[:, start:], other.counts[:, i : i + 1]).sum(axis=0, dtype="uint32").astype("float64")
+        common = np.zeros(len(self.names))
+        for w in other.words[i]:
+            if (at := self.places.get(w)) is not None:
+                common[at] += len(w) + 1
+        common = np.maximum(common[start:] - 1, 0)
+        length, distinct = self.length[start:], self.distinct[start:]
+        short, long_, few = np.minimum(length, other.length[i]), np.maximum(length, other.length[i]), np.minimum(distinct, other.distinct[i])
+        plain = 2 * shared >= least * (length + other.length[i])
+        inside = (shared >= short) & (long_ >= 1.5 * short) & (np.where(long_ < 8 * short, 0.9, 0.6) >= least)
+        sets = (common > 0) & (0.95 * np.maximum(2 * common / (common + few), 2 * shared / (distinct + other.distinct[i])) >= least)
+        words = (common > 0) & (0.95 * 2 * common >= least * (common + few))
+        x = other.names[i]
+        for k in np.flatnonzero(plain | inside | sets):
+            j = start + int(k)
+            total = least * (len(x) + len(self.names[j]))
+            if words[k] or inside[k] or (sets[k] and self._sets_may(other, i, j, least)) or 2 * _common_length(x, self.names[j]) >= total or 1.9 * _common_length(other.sorted[i], self.sorted[j]) >= total:
+                yield j
+
+    def _sets_may(self, other: _Block, i: int, j: int, least: float) -> bool:
+        s, t = other.words[i], self.words[j]
+        both = [w for w in s if w in t]
+        x, y = (" ".join(both + [w for w in ws if w not in both]) for ws in (s, t))
+        return 1.9 * _common_length(x, y) >= least * (len(x) + len(y))
+
+
 def fuzzy_pairs(names: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
-    """(a, b, score), a < b: pairs that share one of the two rarest words of either name and are alike enough."""
-    rows = names.select(F.col(key).alias("id"), F.col(name).alias("n")).filter(F.trim("n") != "")
-    words = rows.select("id", "n", F.explode(F.array_distinct(F.filter(F.split(F.lower("n"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
-    seen = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = words.join(seen, "w").groupBy("id", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, 2).alias("r"))
-    keyed = cut(rare.select("id", "n", F.explode("r").alias("r")).select("id", "n", F.col("r.w").alias("w")))
-    other = keyed.select(F.col("id").alias("b"), F.col("n").alias("m"), "w")
-    pairs = keyed.withColumnRenamed("id", "a").join(other, "w").filter("a < b").select("a", "b", "n", "m").distinct()
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([weighted_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return pairs.withColumn("score", F.round(score("n", "m"), 6)).filter(F.col("score") >= threshold).select("a", "b", "score")
+    """(a, b, score), a < b: all pairs that are alike enough.
+
+    Every two distinct cleaned names meet: they are dealt to blocks by hash, each two blocks meet in one group by an
+    equi-join, and within it bounds that no score exceeds say which pairs are scored. The work grows with the square of
+    the distinct names, the memory of a worker with a block.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 or less keeps every pair")
+    cleaned = F.pandas_udf(lambda x: x.map(_clean), "string")
+    rows = cut(names.select(F.col(key).alias("id"), F.col(name).alias("n")).filter(F.trim("n") != "").withColumn("n", cleaned("n")).filter("n <> ''"))
+    once = cut(rows.groupBy("n").agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    blocks = max(1, -(-once.count() // BLOCK))
+    dealt = once.withColumn("own", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"p": F.least("own", "met"), "q": F.greatest("own", "met")})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", ignore_index=True)
+        p, q = group["p"].iat[0], group["q"].iat[0]
+        left, right = group[group["own"] == p], group[group["own"] == q]
+        out: list[tuple[str, str, float]] = []
+        if len(left) and len(right):
+            x, y = _Block(left["n"].tolist()), _Block(right["n"].tolist())
+            ends = [list(zip(part["low"], part["high"], strict=True)) for part in (left, right)]
+            for i, n in enumerate(x.names):
+                for j in y.near(x, i, i + 1 if p == q else 0, threshold):
+                    m, (low, high), (low_m, high_m) = y.names[j], ends[0][i], ends[1][j]
+                    # the order matters to a score, so each is taken only if ids in that order exist
+                    out += [(c, d, weighted_ratio(c, d)) for c, d, some in ((n, m, low < high_m), (m, n, low_m < high)) if some]
+        found = pd.DataFrame(out, columns=["n", "m", "score"]).astype({"score": "float64"})
+        return found[found["score"].round(6) >= threshold]
+
+    alike = dealt.groupBy("p", "q").applyInPandas(compare, "n string, m string, score double")
+    alike = cut(alike.unionByName(once.filter("low < high").select("n", F.col("n").alias("m"), F.lit(1.0).alias("score")).filter(F.col("score") >= threshold)))
+    pairs = alike.join(rows.withColumnRenamed("id", "a"), "n").join(rows.select(F.col("id").alias("b"), F.col("n").alias("m")), "m")
+    return pairs.filter("a < b").select("a", "b", F.round("score", 6).alias("score"))
 
 
 def component_labels(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:

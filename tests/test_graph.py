@@ -160,6 +160,17 @@ def test_fuzzy_pairs_against_all_pairs(spark):
     assert got == want
 
 
+def test_fuzzy_pairs_of_slips_and_initials(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 7)  # so that names of several blocks meet
+    said = ["Samuel \"Sam\" Sagrepluomt", "Samuel U. Sagreplumot", "Priya L. Jakuuhoplon, Esq.", "Priya L. Jakuhoplon", "Dr. Edward I. Stohoddacral", "Edward Stohodacral", "Stohodacral, Edward", "Edward Edward Stohodacral",
+            "Ann Lee", "Anne Lee", "Lee", "ann-lee", "Zoë Müller", "Zoe Müller", "Müller Zoë", "J. Smith", "John Smith", "Jhon Smith", "John A. Smith Jr.", "Smith", "A", "a.", "The Johnsmith Group", "Smithson"]
+    names = [(f"{i:02}", n) for i, n in enumerate(said)]
+    df = spark.createDataFrame(names, "id string, n string")
+    for t in (0.6, 0.85, 0.95):
+        want = {(a, b): round(s, 6) for a, x in names for b, y in names if a < b and (s := resolve.weighted_ratio(x, y)) >= t}
+        assert {(r.a, r.b): r.score for r in resolve.fuzzy_pairs(df, "id", "n", t).collect()} == want and want
+
+
 def test_checks(spark, graph):
     assert pairs(checks.completeness(graph.nodes["Person"], ["name"])) == [("name", 3, 2)]
     assert pairs(checks.orphans(graph)) == [("Person", 3, 1)]
