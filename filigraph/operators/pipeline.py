@@ -70,29 +70,46 @@ def with_company(documents: DataFrame, metadata: DataFrame, file: str) -> DataFr
     return documents.join(known, F.element_at(F.split(file, "/"), -1) == F.col("file"), "left").drop("file")
 
 
+def _richness(entities: DataFrame) -> Column:
+    """Rank of an entity as survivor, the least first: most filled properties, most relationships, smallest id."""
+    filled = F.col("filled") if "filled" in entities.columns else resolve.truthy_count(F.col("properties")) if "properties" in entities.columns else F.lit(0)
+    links = F.col("relationship_count") if "relationship_count" in entities.columns else F.lit(0)
+    down = lambda c: -F.coalesce(c, F.lit(0)).cast("bigint")
+    return F.struct(down(filled).alias("p"), down(links).alias("r"), F.col("element_id").alias("id"))
+
+
 def resolve_entities(entities: DataFrame, config: ResolutionConfig | None = None, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(component, element_id, name, status): groups of ``entities`` (element_id, name, ticker, cik).
+    """(component, element_id, name, status, rank): groups of ``entities`` (element_id, name, ticker, cik), each of one component and status.
 
-    Exact names are collapsed first; one entity per name goes into the candidates, the judge's verdicts confirm them,
-    and components are gated by size and completeness. Pairs that groups still lack are put to the judge once more.
+    Exact names are collapsed first, null counting as ``''``; the richest entity of each name goes into the candidates, the
+    judge's verdicts confirm them, and components are gated by size and completeness. Pairs that groups still lack are put
+    to the judge once more. Copies of a name are ready in any case: with their component if that is ready, else as a group
+    of their own, and a component that is not ready has one entity per name. The least ``rank`` survives: by ``filled`` or
+    ``properties``, then ``relationship_count``, where ``entities`` has them, then by id.
     """
     config = config or ResolutionConfig()
-    facts = entities.groupBy("name").agg(F.min("element_id").alias("id"), F.max("ticker").alias("ticker"), F.max("cik").alias("cik"))
+    rows = entities.select("element_id", F.coalesce("name", F.lit("")).alias("name"), "ticker", "cik", _richness(entities).alias("rank"))
+    facts = rows.groupBy("name").agg(F.min("rank").getField("id").alias("id"), F.max("ticker").alias("ticker"), F.max("cik").alias("cik"), F.count(F.lit(1)).alias("copies"))
     decide = judge or (lambda pairs: resolve.verdicts(pairs, facts, "id"))
-    pairs = STRATEGIES[config.strategy](facts.filter("name is not null"), "id", "name", config.threshold)
+    pairs = STRATEGIES[config.strategy](facts.filter("name <> ''"), "id", "name", config.threshold)
     confirmed = decide(pairs.select("a", "b")).filter("same").select("a", "b")
     labels = resolve.component_labels(confirmed, "a", "b")
     groups = resolve.gated_groups(confirmed, labels, config.max_group)
     more = decide(resolve.missing_pairs(confirmed, labels, groups).select("a", "b")).filter("same").select("a", "b")
     groups = resolve.gated_groups(confirmed.unionByName(more), labels, config.max_group).select("component", "status")
-    members = labels.join(facts.select("id", "name"), "id").join(groups, "component")
-    return members.join(entities.select("element_id", "name"), "name").select("component", "element_id", "name", "status")
+    members = labels.join(groups, "component")
+    kept = facts.select("id", "name", "copies").join(members, "id", "left")
+    ready = kept.filter("status = 'ready' or copies > 1").select("name", F.when(F.col("status") == "ready", F.col("component")).otherwise(F.col("id")).alias("component"), F.lit("ready").alias("status"))
+    out = ready.join(rows, "name").select("component", "element_id", "name", "status", "rank")
+    waiting = members.filter("status <> 'ready'").join(rows, F.col("id") == F.col("element_id"))
+    return out.unionByName(waiting.select("component", "element_id", "name", "status", "rank"))
 
 
 def merge_map(groups: DataFrame) -> DataFrame:
-    """(id, survivor) of the groups that are ready; the smallest element id survives."""
+    """(id, survivor) of the groups that are ready; the least ``rank`` survives, without ranks the smallest element id."""
     ready = groups.filter("status = 'ready'")
-    first = ready.groupBy("component").agg(F.min("element_id").alias("survivor"))
+    rank = F.col("rank") if "rank" in groups.columns else F.struct(F.col("element_id").alias("id"))
+    first = ready.groupBy("component").agg(F.min(rank).getField("id").alias("survivor"))
     return ready.join(first, "component").filter("element_id <> survivor").select(F.col("element_id").alias("id"), "survivor")
 
 
@@ -109,7 +126,7 @@ def cleanse_plan(nodes: DataFrame, key: str, name: str, value: str, groups: Data
     """The plan for one label; nothing is changed until it is applied, so it can be written and reviewed."""
     providers = providers or Providers()
     removals = nodes.filter(~F.coalesce(providers.keep(F.col(name), F.col(value)), F.lit(True))).select(F.col(key).alias("id"))
-    merges = merge_map(groups).join(removals, "id", "left_anti")
+    merges = merge_map(groups.join(removals.select(F.col("id").alias("element_id")), "element_id", "left_anti"))
     after = providers.normalize(F.col(value))
     changes = nodes.filter(F.col(value).isNotNull() & (F.trim(value) != "")).select(F.col(key).alias("id"), F.col(value).alias("before"), after.alias("after")).filter("before <> after")
     return CleansePlan(removals, merges, changes)

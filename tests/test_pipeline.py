@@ -42,6 +42,20 @@ def test_resolution(spark):
     assert P.resolve_entities(entities, P.ResolutionConfig("prefix", 0.3)).count() == 4
 
 
+def test_resolution_of_copies(spark):
+    rows = [("1", "Solo Ltd", None, 1, 0), ("2", "Solo Ltd", None, 3, 0), ("3", "Solo Ltd", None, 3, 9), ("4", None, None, 0, 0), ("5", "", None, 0, 1), ("6", "Only One", None, 5, 5),
+            ("a", "Acme Corp", "AC", 0, 0), ("b", "Acme Corp", "AC", 2, 0), ("c", "Acme Corporation", "AC", 1, 7), ("x", "Beta Holdings", "B", 0, 0), ("y", "Beta Holding", "B", 0, 0), ("z", "Beta Holding", "B", 1, 0)]
+    entities = spark.createDataFrame([(*r[:3], None, *r[3:]) for r in rows], "element_id string, name string, ticker string, cik string, filled int, relationship_count bigint")
+    groups = P.resolve_entities(entities, P.ResolutionConfig("fuzzy", 0.6)).cache()
+    assert pairs(P.merge_map(groups)) == [("1", "3"), ("2", "3"), ("4", "5"), ("a", "b"), ("c", "b"), ("x", "z"), ("y", "z")]
+    nodes = entities.select(F.col("element_id").alias("id"), F.col("name"), F.when(F.col("element_id") != "3", F.lit("7")).otherwise("none").alias("value"))
+    plan = P.cleanse_plan(nodes, "id", "name", "value", groups)
+    assert pairs(plan.removals) == [("3",)] and [m for m in pairs(plan.merges) if m[0] < "4"] == [("1", "2")]
+    gated = P.resolve_entities(entities, P.ResolutionConfig("fuzzy", 0.6, max_group=1)).cache()
+    assert pairs(P.merge_map(gated)) == [("1", "3"), ("2", "3"), ("4", "5"), ("a", "b"), ("y", "z")]
+    assert pairs(gated.filter("status = 'flagged'").select("component", "element_id")) == [("b", "b"), ("b", "c"), ("x", "x"), ("x", "z")]
+
+
 def test_cleanse(spark):
     nodes = spark.createDataFrame([("a", "m", " 5  x "), ("b", "m", "none"), ("c", "m", ""), ("d", "m", "7")], "id string, name string, value string")
     graph = Graph({"FinancialMetric": nodes}, {"REPORTS": spark.createDataFrame([("co", "a"), ("co", "b"), ("co", "d")], "src string, dst string")})
