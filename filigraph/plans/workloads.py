@@ -383,6 +383,57 @@ def similar_with_risks(s: SparkSession, d: str) -> DataFrame:
     return rows.select("chunkid", "companyid", F.coalesce(F.array_join("r", "; "), F.lit("")).alias("risks"))
 
 
+@query("""select query_id, vec_id, round(c, 6) cosine, round((1 + c) / 2, 6) score from (select *, row_number() over (partition by query_id order by c desc, vec_id) r
+from (select q.vec_id query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 12) c from embeddings e, embeddings q where q.vec_id % 20 = 0)) where r <= 10""")
+def vectors_topk(s: SparkSession, d: str) -> DataFrame:
+    """The ten vectors nearest to each whose id is divisible by 20, itself included."""
+    rows = table(s, d, "embeddings")
+    return retrieve.vectors_topk(rows, "vec_id", "embedding", rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", 10).drop("place")
+
+
+_ALL_HITS = f"""v as (select chunkid, doc_id, embedding from nova_embeddings where {_SOUND}), u as (select chunkid, min(doc_id) doc_id, any_value(embedding) embedding from v group by 1),
+hits as (select seedid, chunkid, doc_id, c from (select *, row_number() over (partition by seedid order by c desc, chunkid) r from (select q.chunkid seedid, e.chunkid, e.doc_id, round({_COS}, 12) c from u e, u q
+where cast(substr(q.chunkid, 3) as bigint) % 20 = 0 and e.chunkid <> q.chunkid)) where r <= 5)"""
+
+
+def _all_similar_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The five chunks most similar to each whose number is divisible by 20, with their passage."""
+    sound = retrieve.sound_vectors(table(s, d, "nova_embeddings"), "embedding", 64).groupBy("chunkid").agg(F.min("doc_id").alias("doc_id"), F.min("embedding").alias("embedding"))
+    seeds = sound.filter(F.substring("chunkid", 3, 20).cast("bigint") % 20 == 0).select(F.col("chunkid").alias("seedid"), F.col("embedding").alias("q"))
+    hits = retrieve.vectors_topk(sound, "chunkid", "embedding", seeds, "seedid", 6).filter("seedid <> chunkid")
+    rank = Window.partitionBy("seedid").orderBy("place")
+    return hits.withColumn("r", F.row_number().over(rank)).filter("r <= 5").drop("r", "place").join(sound.select("chunkid", "doc_id"), "chunkid")
+
+
+@query(f"with {_ALL_HITS} select seedid, chunkid, doc_id, round(c, 6) cosine, round((1 + c) / 2, 6) score from hits")
+def all_similar_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The five chunks most similar to each sound one whose number is divisible by 20, the seed left out."""
+    return _all_similar_chunks(s, d).select("seedid", "chunkid", "doc_id", "cosine", "score")
+
+
+@query(f"""with {_ALL_HITS} select h.seedid, h.chunkid, round(h.c, 6) cosine, c.name company, d.filingtype from hits h join documents d on d.doc_id = h.doc_id join companies c on c.companyid = d.companyid""")
+def all_similar_with_company(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of all seeds with the company that filed them; chunks without one drop out."""
+    rows = _all_similar_chunks(s, d).join(chunks(s, d).select("doc_id", "companyid", "filingtype"), "doc_id").join(companies(s, d).select("companyid", "name"), "companyid")
+    return rows.select("seedid", "chunkid", "cosine", F.col("name").alias("company"), "filingtype")
+
+
+@query(f"""with {_ALL_HITS}, {_CHAIN} select h.seedid, h.chunkid, coalesce(p.text, '') prev_text, coalesce(n.text, '') next_text from hits h left join chain a on a.dst = h.doc_id left join documents p on p.doc_id = a.src
+left join chain b on b.src = h.doc_id left join documents n on n.doc_id = b.dst""")
+def all_similar_with_neighbours(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of all seeds with the texts before and after them."""
+    return retrieve.adjacent(_all_similar_chunks(s, d), chunks(s, d), next_chunk(s, d), "doc_id", "text").select("seedid", "chunkid", "prev_text", "next_text")
+
+
+@query(f"""with {_ALL_HITS}, {_FACES}, r as (select src, list_sort(list(distinct dst)) l from faces group by 1)
+select h.seedid, h.chunkid, d.companyid, coalesce(array_to_string(r.l[1:5], '; '), '') risks from hits h left join documents d on d.doc_id = h.doc_id left join r on r.src = d.companyid""")
+def all_similar_with_risks(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of all seeds with five risks of their company; chunks without a company stay."""
+    r = faces(s, d).groupBy(F.col("src").alias("companyid")).agg(match.first_few(F.col("dst"), 5).alias("r"))
+    rows = _all_similar_chunks(s, d).join(chunks(s, d).select("doc_id", "companyid"), "doc_id", "left").join(r, "companyid", "left")
+    return rows.select("seedid", "chunkid", "companyid", F.coalesce(F.array_join("r", "; "), F.lit("")).alias("risks"))
+
+
 _BM25 = """w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') l from documents where text is not null),
 t as (select count(*) docs, avg(len(l)) avg_len from w), f as (select doc_id, len(l) len, x.q term, len(list_filter(l, lambda y: y = x.q)) tf from w, (values ('currency'), ('suppliers')) x(q) where list_contains(l, x.q)),
 g as (select term, count(*) df from f group by 1), bm as (select f.doc_id, sum(ln(1 + (t.docs - g.df + 0.5) / (g.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * f.len / t.avg_len))) score from f join g on g.term = f.term, t group by 1)"""

@@ -1,5 +1,7 @@
 """Graph operators on small frames: nulls, repeats, ties and empty inputs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,28 @@ def test_retrieval(spark):
     assert got == {1: ("", "two"), 2: ("one", "three"), 3: ("two", "")}
 
 
+def test_many_query_vectors(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ROWS", 40)
+    monkeypatch.setattr(retrieve, "QUERIES", 7)
+    monkeypatch.setattr(retrieve, "SLICE", 3)
+    vectors = {i: [float((i * i * p) % 11 - 5) for p in (1, 3, 7, 13)] for i in range(120)} | {120: [0.0] * 4, 121: [float("nan")] * 4, 122: [1.0], 123: [2.0] * 4}
+    rows = spark.createDataFrame([*vectors.items(), (124, None)], "id int, v array<double>")
+    queries = rows.filter("id % 4 = 0").select(F.col("id").alias("asked"), F.col("v").alias("q"))
+    got = {}
+    for r in retrieve.vectors_topk(rows, "id", "v", queries, "asked", 5).collect():
+        got.setdefault(r.asked, {})[r.place] = (r.id, r.cosine)
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b)
+    sound = {i: v for i, v in vectors.items() if i not in (120, 121, 122) and any(v)}
+    for i, q in sound.items():
+        if i % 4 == 0:
+            want = sorted(((-round(cos(q, v), 12), j) for j, v in sound.items()))[:5]
+            assert [got[i][p] for p in range(1, 6)] == [(j, pytest.approx(-c, abs=1e-6)) for c, j in want]
+    assert set(got) == {i for i in sound if i % 4 == 0}
+    with pytest.raises(Exception, match="more than one query vector"):
+        retrieve.vector_topk(rows, "id", "v", queries, 5).collect()
+
+
 def test_fulltext(spark):
     rows = spark.createDataFrame([(1, "cash flow and cash"), (2, "Flow of risk"), (3, None), (4, "")], "id int, t string")
     scores = {r.id: r.score for r in fulltext.bm25(rows, "id", "t", ["cash", "flow"]).collect()}
