@@ -40,7 +40,7 @@ class ResolutionConfig:
 STRATEGIES: dict[str, Callable[[DataFrame, str, str, float], DataFrame]] = {
     "fuzzy": resolve.fuzzy_pairs,
     "prefix": resolve.prefix_pairs,
-    "honorific": lambda names, key, name, threshold: resolve.fuzzy_pairs(names, key, name, threshold).unionByName(resolve.honorific_pairs(names, key, name)).groupBy("a", "b").agg(F.max("score").alias("score")),
+    "honorific": resolve.honorific_stages,
 }
 
 

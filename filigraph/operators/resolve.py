@@ -185,6 +185,16 @@ def fuzzy_pairs(names: DataFrame, key: str, name: str, threshold: float) -> Data
     return pairs.filter("a < b").select("a", "b", F.round("score", 6).alias("score"))
 
 
+def honorific_stages(names: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
+    """(a, b, score), a < b: the score of the names where it reaches ``threshold``, else that of the names without
+    honorifics where it does, else 0.7 for equal last words of which exactly one name has an honorific."""
+    bare = names.select(F.col(key).alias("id"), F.trim(F.regexp_replace(F.col(name), HONORIFIC, "")).alias("n"))
+    last = honorific_pairs(names, key, name).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("score").alias("s3"))
+    first, second = (p.withColumnRenamed("score", s) for p, s in ((fuzzy_pairs(names, key, name, threshold), "s1"), (fuzzy_pairs(bare, "id", "n", threshold), "s2")))
+    found = first.join(second, ["a", "b"], "full_outer").join(last, ["a", "b"], "full_outer")
+    return found.select("a", "b", F.coalesce("s1", "s2", "s3").alias("score"))
+
+
 def component_labels(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id that is reachable, by minimum labels with pointer jumping."""
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")

@@ -637,6 +637,13 @@ def fuzzy_pairs(s: SparkSession, d: str) -> DataFrame:
     return resolve.fuzzy_pairs(once, "id", "name", 0.85)
 
 
+@query()
+def honorific_stages(s: SparkSession, d: str) -> DataFrame:
+    """Executives whose names are alike as they stand, without honorifics, or by their last word; compared with a double loop in the tests."""
+    once = table(s, d, "executives").filter("name is not null").groupBy("name").agg(F.min("executiveid").alias("id"))
+    return resolve.honorific_stages(once, "id", "name", 0.85)
+
+
 _SURE = "sure as (select distinct least(entity_a_element_id, entity_b_element_id) a, greatest(entity_a_element_id, entity_b_element_id) b from merge_decisions where decision = 'merge' and confidence >= 0.8 and not isnan(confidence) and confidence <= 1 and entity_a_element_id <> entity_b_element_id)"
 _REACH = f"""{_SURE}, e as (select a, b from sure union select b, a from sure), reach(id, other) as (select a, b from e union select r.id, e.b from reach r join e on e.a = r.other), comp as (select id, least(id, min(other)) component from reach group by id)"""
 

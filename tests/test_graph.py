@@ -1,6 +1,7 @@
 """Graph operators on small frames: nulls, repeats, ties and empty inputs."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from filigraph.functions import expressions as X
 from filigraph.graph import Graph
 from filigraph.operators import checks, fulltext, match, mutate, resolve, retrieve, text
+from filigraph.operators import pipeline as P
 from filigraph.sources import files
 
 
@@ -195,6 +197,25 @@ def test_fuzzy_pairs_of_slips_and_initials(spark, monkeypatch):
         assert {(r.a, r.b): r.score for r in resolve.fuzzy_pairs(df, "id", "n", t).collect()} == want and want
 
 
+def test_honorific_stages(spark):
+    said = ["Prof. Ann Lee", "Dr. Ann Lee", "Ann Lee", "Mr. Smith", "Bradford L. Smith", "Smith", "Ms. Hood", "Amy E. Hood", "Sir John Hood", "Dame Amy E. Hood", "Xavier"]
+    names = [(f"{i:02}", n) for i, n in enumerate(said)]
+    bare = lambda n: re.sub(resolve.HONORIFIC.replace("(?i)", ""), "", n, flags=re.I).strip()
+    for t in (0.6, 0.9):
+        want = {}
+        for a, x in names:
+            for b, y in names:
+                if a < b:
+                    first, second = resolve.weighted_ratio(x, y), resolve.weighted_ratio(bare(x), bare(y))
+                    third = 0.7 if (bare(x) != x) != (bare(y) != y) and x.lower().split()[-1] == y.lower().split()[-1] else None
+                    score = first if first >= t else second if second >= t else third
+                    if score is not None:
+                        want[a, b] = round(score, 6)
+        got = P.STRATEGIES["honorific"](spark.createDataFrame(names, "id string, n string"), "id", "n", t)
+        assert {(r.a, r.b): r.score for r in got.collect()} == want
+    assert want["00", "01"] == 1.0
+
+
 def test_checks(spark, graph):
     assert pairs(checks.completeness(graph.nodes["Person"], ["name"])) == [("name", 3, 2)]
     assert pairs(checks.orphans(graph)) == [("Person", 3, 1)]
