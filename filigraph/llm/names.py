@@ -1,41 +1,36 @@
-"""Reading names that people typed: a company or person name as a core word, content words and a legal form.
+"""Reading names that people typed, and telling whether two words of names are spellings of one word.
 
-The core is the word that sets the name apart (the coined word of a company, the surname of a person). Content words
-come from a lexicon of common descriptors, industries and given names, whatever abbreviation, nickname or slip was
-typed. A content word that is cut off short is kept as an open prefix (``ins~``), an initial likewise (``g:m~``).
+A name is read as a set of words, initials and a legal form. No word has a part of its own: what sets a name apart is
+what few names hold, so words are weighed by how many names of the data hold them, and any vocabulary is read alike.
+The tables of abbreviations and nicknames below only help: a listed spelling is read as its main word, an unlisted
+one is still recognised by :func:`shortens` (a word cut off or without its vowels) and :func:`alike` (a slip).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that many company names share, each with its usual abbreviations.
-COMMON = """advanced adv|american amer am|data|first 1st fst|general gen genl|global glbl glob|medical med|national natl nat|northern nthn northn|southern sthn|eastern|western|united utd|
-industries inds ind|manufacturing mfg manuf|software sftwr softw|electronics elec electrs electr|laboratories labs lab|properties props prop|holdings hldgs hldg hld|financial finl fin|foods fds food|
-instruments instr instrs|communications comms commun comm|systems sys syst|entertainment entmt ent|insurance ins insur|resources rsrcs res resour|semiconductor semi semicon|engineering engr eng engrg|
-pharmaceuticals pharma pharm|services svcs svc serv|chemical chem chems|networks ntwks netwks|logistics logist logis|biosciences biosci|materials matls matl|international intl|energy enrgy|
-transport trans transp|devices dvcs devs|group grp|technologies tech techs technol|marine mar|mobile|foundation fdn|pension|trust tr|capital cap|europe eur|credit|union|society soc|bank bk|partners ptnrs|
-retail|media|power pwr|water|motors mtrs|airlines airls|steel|oil|gas|mining|health hlth|solutions solns|ventures|research|studios|brands|stores|asia|pacific pac|canada|japan|india|china|germany|france"""
+#: Abbreviations of company words that no rule derives, each after its main word.
+SHORT = """first 1st|holdings hldg hld|foods food|engineering engr|services svc|chemical chems|materials matl|energy enrgy"""
 #: Legal forms by the spellings of their words.
 LEGAL = """inc incorporated incorp|corp corporation corpn|co company cos|ltd limited|plc|llc|lp|llp|ag|sa|nv|bv|gmbh|kk|oy|ab|as|spa|sarl|pte|se|kgaa|kg|pty"""
 #: Words that carry no meaning beside a name.
 NOISE = frozenset("the and of new com cl a b de us usa subsidiaries subsidiary affiliates etc shs ord adr sponsored del".split())
 HONORIFICS = frozenset("mr mrs ms miss dr prof professor sir dame jr sr ii iii iv phd md mba cpa esq cfa jd dds rn hon rev ba bsc msc pe".split())
-#: Given names with their nicknames and short forms.
-GIVEN = """alexander alex al sasha xander|andrew andy drew|anthony tony|charles charlie chuck chas|christopher chris kit topher|cynthia cindy cyndi|daniel dan danny|deborah deb debbie debby|edward ed eddie ted ned|
-elizabeth liz beth betty lizzie eliza betsy|gregory greg|haruto|ingrid|james jim jimmy jamie|jennifer jen jenny jenn|joseph joe joey|karim|katherine kate katie kathy kat|leila|margaret maggie meg peggy marge|
-mateo matt|michael mike mick mickey|nadia|nicholas nick nicky|olumide olu|patricia pat patty trish tricia|priya|richard rick dick rich ricky|robert rob bob bobby robbie bert|samuel sam sammy|sofia sophie sophia|
-stephen steve steven|susan sue susie suzie suzy|theodore theo teddy|thomas tom tommy|victoria vicky tori vicki|wei|william bill will billy willy liam|john jack johnny|david dave davey|benjamin ben benny|
-jonathan jon|matthew mat|kenneth ken kenny|ronald ron ronnie|timothy tim|lawrence larry|raymond ray|peter pete|philip phil|barbara barb|judith judy|kimberly kim|rebecca becky|pamela pam|sandra sandy|frederick fred|
-gerald gerry|henry harry hank|leonard leo len|martin marty|nathaniel nate nathan|randolph randy|vincent vince|walter walt|zachary zach|abigail abby|amanda mandy|caroline carrie|catherine cathy|dorothy dot|emily em|
-florence flo|frances fran|gabriel gabe|george|maria|anna ann anne|laura|paul|mark|mary|sarah|linda|nancy|karen|lisa|helen|amy|eric|kevin|brian|scott|jason|carol|diane|julia|victor|hugo|omar|yuki|chen|ivan|olga"""
+#: Nicknames that no rule derives from the given name, each after its given name.
+NICKNAMES = """alexander sasha xander|andrew andy drew|anthony tony|charles charlie chuck chas|christopher kit topher|cynthia cindy cyndi|daniel danny|deborah debbie debby|edward eddie ted ned|
+elizabeth liz beth betty lizzie betsy|james jim jimmy jamie|jennifer jenny|joseph joe joey|katherine kate katie kathy|margaret maggie meg peggy marge|mateo matt|michael mike mick mickey|nicholas nick nicky|
+patricia patty trish tricia|richard rick dick ricky|robert bob bobby robbie bert|samuel sammy|sofia sophie sophia|stephen steve steven|susan sue susie suzie suzy|theodore teddy|thomas tom tommy|
+victoria vicky tori vicki|william bill billy willy liam|john jack johnny|david dave davey|benjamin benny|kenneth kenny|ronald ronnie|lawrence larry|peter pete|judith judy|rebecca becky|sandra sandy|
+gerald gerry|henry harry hank|leonard len|martin marty|nathaniel nate|randolph randy|abigail abby|amanda mandy|caroline carrie|catherine cathy|dorothy dot|gabriel gabe|anna ann anne|francisco paco pancho|
+jose pepe|guadalupe lupe"""
 
 
 def _table(text: str) -> dict[str, str]:
@@ -48,8 +43,7 @@ def _table(text: str) -> dict[str, str]:
     return out
 
 
-_COMMON, _LEGAL, _GIVEN = _table(COMMON), _table(LEGAL), _table(GIVEN)
-_WORDS = sorted(set(_COMMON.values()))
+_SHORT, _LEGAL, _NICK = _table(SHORT), _table(LEGAL), _table(NICKNAMES)
 
 
 def osa(a: str, b: str, most: int = 3) -> int:
@@ -78,32 +72,6 @@ def deletes(word: str, most: int) -> set[str]:
     return out
 
 
-def _near(words: Iterable[str]) -> dict[str, set[str]]:
-    index: dict[str, set[str]] = {}
-    for w in words:
-        if len(w) >= 5:  # spelt in full or abbreviated
-            for d in deletes(w, 2 if len(w) >= 8 else 1):
-                index.setdefault(d, set()).add(w)
-    return index
-
-
-_NEAR_COMMON, _NEAR_GIVEN = _near(set(_COMMON)), _near(set(_GIVEN))
-
-
-@lru_cache(maxsize=200_000)
-def _slip(word: str, given: bool) -> str | None:
-    """The lexicon word that ``word`` misspells by one edit (two for long ones), if there is exactly one nearest."""
-    if len(word) < 4:
-        return None
-    index, main, found = _NEAR_GIVEN if given else _NEAR_COMMON, _GIVEN if given else _COMMON, {}
-    for d in deletes(word, 2 if len(word) >= 8 else 1):
-        for w in index.get(d, ()):
-            if (n := osa(word, w)) <= (2 if len(word) >= 8 else 1):
-                found[main[w]] = min(n, found.get(main[w], 9))
-    ranked = sorted((n, w) for w, n in found.items())
-    return ranked[0][1] if ranked and (len(ranked) == 1 or ranked[1][0] > ranked[0][0]) else None
-
-
 def plain(text: str) -> str:
     """Lower case without diacritics; ligatures and full-width forms opened."""
     text = text.replace("ß", "ss").replace("ø", "o").replace("Ø", "o").replace("ł", "l").replace("æ", "ae")
@@ -115,89 +83,56 @@ def _letters(token: str) -> str:
     return token.translate(str.maketrans("0135", "oles")) if re.search("[a-z]", token) and re.search(r"\d", token) and not re.fullmatch(r"\d+(?:st|nd|rd|th)", token) else token
 
 
-Parsed = tuple[str, tuple[str, ...], str]
+#: Words, initials and legal form that a name says; what is not said is empty.
+Said = tuple[tuple[str, ...], tuple[str, ...], str]
 
 
 @lru_cache(maxsize=200_000)
-def parse_company(name: str) -> Parsed:
-    """(core, sorted content words, legal form) of a company name; what is not said is ``''``."""
+def read_company(name: str) -> Said:
+    """(words, (), legal form) of a company name. Words come sorted and once."""
     text = plain(name)
     text = re.sub(r"/[a-z]{2,3}/?\s*$", " ", text)
     text = re.sub(r"(?:\band|&)\s+(?:subsidiaries|affiliates|co\b\.?)", " ", text)
     text = text.replace("s.a r.l.", " sarl ").replace("s.a.r.l.", " sarl ").replace("kabushiki kaisha", " kk ").replace("&", " and ")
     text = re.sub(r"['’`.]", "", text)
-    tokens = re.findall(r"[^\W_]+", text)
     # letters typed apart ("s a", "n v", "p l c") are one form
     joined: list[str] = []
-    for t in tokens:
+    for t in re.findall(r"[^\W_]+", text):
         if len(t) == 1 and joined and re.fullmatch(r"[a-z]|s|n|p|l|pl|ll|a|sa", joined[-1]) and joined[-1] + t in ("sa", "nv", "ag", "pl", "plc", "ll", "llc", "bv", "lp"):
             joined[-1] += t
         else:
             joined.append(t)
-    tokens = [_letters(t) for t in joined]
-    content, rest, legal = set(), [], ""
-    for i, t in enumerate(tokens):
-        if t in _LEGAL and not (t == "co" and legal):
+    words, legal = set(), ""
+    for i, t in enumerate(map(_letters, joined)):
+        last = i == len(joined) - 1
+        if t in _LEGAL and (i or len(joined) == 1):
             legal = legal or _LEGAL[t]
-        elif t in _COMMON:
-            content.add(_COMMON[t])
-        elif t in NOISE or t in _LEGAL or len(t) == 1 and t.isalpha():
+        elif t in _SHORT:
+            words.add(_SHORT[t])
+        elif t in NOISE or len(t) == 1 and t.isalpha():
             continue
-        elif w := _slip(t, False):
-            content.add(w)
-        elif rest and i == len(tokens) - 1:  # a last word may be cut off
-            forms = {f for s, f in _LEGAL.items() if len(t) >= 3 and s.startswith(t)}
-            starts = [w for w in _WORDS if w.startswith(t)] if len(t) >= 2 else []
-            if forms:
-                legal = legal or min(forms)
-            elif len(starts) == 1:
-                content.add(starts[0])
-            elif starts:
-                content.add(t + "~")
-            else:
-                rest.append(t)
+        elif last and words and len(t) >= 3 and (forms := {f for s, f in _LEGAL.items() if s.startswith(t)}):
+            legal = legal or min(forms)  # a legal form that was cut off
         else:
-            rest.append(t)
-    core = rest[0] if rest else ""
-    content |= {"x:" + t for t in rest[1:]}
-    if not rest and content:
-        core = " ".join(sorted(content))
-    return core, tuple(sorted(content)), legal
+            words.add(t)
+    return tuple(sorted(words)), (), legal
 
 
 @lru_cache(maxsize=200_000)
-def parse_person(name: str) -> Parsed:
-    """(surname, given name ``g:`` and middle initial ``m:``, ``''``) of a person name."""
+def read_person(name: str) -> Said:
+    """(words, initials, '') of a person's name, in whatever order; of three words or more the middle one is an initial."""
     text = re.sub(r'"[^"]*"|“[^”]*”|\([^)]*\)', " ", plain(name))
+    text = re.sub(r"\b(?:m\.d|ph\.d)\b\.?", " ", text)
     text = re.sub(r"\b([a-z])\.\s*(?=[a-z]\.)", r"\1 ", text)
-    head, comma, tail = text.partition(",")
-    words = lambda s: [_letters(t) for t in re.findall(r"[^\W_]+", re.sub(r"['’`]|(?<=\w)\.(?=\w\.)", "", s))]
-    clean = lambda ts: [t for t in ts if t not in HONORIFICS]
-    first, last = clean(words(re.sub(r"\b(?:m\.d|ph\.d)\.?", " ", head))), clean(words(re.sub(r"\b(?:m\.d|ph\.d)\.?", " ", tail)))
-    tokens = first + last
-    long_, initials = [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
-    if not long_:
-        return " ".join(tokens), (), ""
-    known = [t for t in long_ if t in _GIVEN]
-    if last and any(len(t) > 1 for t in last) and len(first) == 1 or last and len(first) == 1 and not known:
-        surname = first[0]
-    elif len(long_) == 1:
-        surname = long_[0]
-    else:
-        others = [t for t in long_ if t not in _GIVEN]
-        slips = [t for t in others if _slip(t, True)]
-        rest = [t for t in others if t not in slips] if not known else others
-        surname = rest[-1] if rest else long_[-1]
-    given = [t for t in long_ if t != surname]
-    content = set()
-    if given:
-        g = given[0]
-        content.add("g:" + (_GIVEN.get(g) or _GIVEN.get(_slip(g, True) or "") or g))
-        content |= {"m:" + t[0] for t in given[1:2]}
-    elif initials:
-        content.add("g:" + initials.pop(0) + "~")
-    content |= {"m:" + t for t in initials[:1]}
-    return surname, tuple(sorted(content)), ""
+    head, _, tail = text.partition(",")
+    split = lambda s: [t for t in (_letters(t) for t in re.findall(r"[^\W_]+", re.sub(r"['’`]|(?<=\w)\.(?=\w\.)", "", s))) if t not in HONORIFICS]
+    first, last = split(head), split(tail)
+    tokens = last + first if any(len(t) > 1 for t in last) or last and len(first) == 1 else first + last
+    words, initials = [t for t in tokens if len(t) > 1], [t for t in tokens if len(t) == 1]
+    if len(words) > 2:
+        initials += [t[0] for t in words[1:-1]]
+        words = [words[0], words[-1]]
+    return tuple(sorted({_NICK.get(t, t) for t in words})), tuple(sorted(initials)), ""
 
 
 _CLASS = {**dict.fromkeys("bpfv", "1"), **dict.fromkeys("cgjkqsxz", "2"), **dict.fromkeys("dt", "3"), "l": "4", **dict.fromkeys("mn", "5"), "r": "6"}
@@ -242,25 +177,118 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def parsed(names: DataFrame, name: str, kind: Column) -> DataFrame:
-    """``names`` with core, content and legal of ``name``; ``kind`` is ``P`` for persons, else a company is read."""
+@lru_cache(maxsize=500_000)
+def alike(a: str, b: str, least: float = 0.88) -> bool:
+    """Whether one word may be a slip of the other: one edit (two in words over seven letters) and high Jaro–Winkler.
+
+    Jaro–Winkler must be 0.8 for a single edit in a word of five letters or more, ``least`` otherwise; two neighbouring
+    letters turned round are a slip in words of any length.
+    """
+    short = min(len(a), len(b))
+    edits = osa(a, b, 2)
+    if edits == 1 and len(a) == len(b) and sorted(a) == sorted(b):
+        return short > 2
+    return edits <= (2 if short > 7 else 1) and jaro_winkler(a, b) >= (0.8 if edits == 1 and short > 4 else least)
+
+
+#: Words of more letters meet by segments too; words of more than four letters above it by segments only.
+LONG = 16
 
-    @F.pandas_udf("struct<core:string,content:array<string>,legal:string>")
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, kinds in batches:
-            rows = [(parse_person if k == "P" else parse_company)(t or "") for t, k in zip(texts, kinds, strict=True)]
-            yield pd.DataFrame({"core": [r[0] for r in rows], "content": [list(r[1]) for r in rows], "legal": [r[2] for r in rows]})
 
-    return names.withColumn("_p", read(F.col(name), kind)).select("*", "_p.core", "_p.content", "_p.legal").drop("_p")
+def segments(word: str, probe: bool) -> set[str]:
+    """Five segments of ``word``, or with ``probe`` the places where a word within two edits may have one of its own.
 
+    Two edits, each touching at most two segments, leave one of five segments as it is, moved by at most two letters.
+    """
+    keys = set()
+    for size in range(len(word) - 2, len(word) + 3) if probe else [len(word)]:
+        for i in range(5):
+            a, b = size * i // 5, size * (i + 1) // 5
+            for move in range(-2, 3) if probe else [0]:
+                if 0 <= a + move and b + move <= len(word):
+                    keys.add(f"{size}:{i}:{word[a + move : b + move]}")
+    return keys
 
-def within(small: str, large: str) -> Column:
-    """Whether every content word of array ``small`` is in ``large``, open prefixes matching any word they begin."""
-    a, b = F.col(small), F.col(large)
-    begun = lambda x: F.exists(b, lambda y: y.startswith(F.regexp_replace(x, "~$", "")))
-    return F.forall(a, lambda x: F.when(x.endswith("~"), begun(x)).otherwise(F.array_contains(b, x)))
 
+def block_keys(word: str) -> set[str]:
+    """The blocks that a word meets others in.
+
+    Its phonetic code and the codes with one class left out, where enough classes are left to tell words apart; and, as a
+    slip may do anything to the code, the word with up to as many letters left out as :func:`alike` allows edits (long
+    words: their segments). So no pair that :func:`alike` accepts is without a common block.
+    """
+    code = phonetic(word)
+    keys = {"=" + x for x in deletes(word, 2 if len(word) > 7 else 1)} if len(word) <= LONG + 4 else set()
+    if len(word) > LONG:
+        keys |= segments(word, True)
+    return keys | {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))} if len(code) > 3 else keys
+
+
+@lru_cache(maxsize=500_000)
+def shortens(a: str, b: str, person: bool = False) -> bool:
+    """Whether ``a`` is ``b`` cut off or, in company names, without inner letters: same first and last sound."""
+    if len(a) < 2 or len(b) - len(a) < 2 or a[0] != b[0]:
+        return False
+    if b.startswith(a):
+        return True
+    if person or a[-1] != b.rstrip("aeiou")[-1:]:
+        return False
+    rest = iter(b)
+    return all(c in rest for c in a)
+
+
+@lru_cache(maxsize=500_000)
+def shortens_nearly(a: str, b: str) -> bool:
+    """Whether ``a`` is the beginning of ``b``, cut off, with one slip; five letters or more."""
+    return len(a) > 4 and len(b) - len(a) > 1 and any(osa(a, b[:n], 1) <= 1 for n in (len(a) - 1, len(a), len(a) + 1))
+
+
+def fit(small: Said, large: Said, person: bool, most: int) -> tuple[int, list[str], list[str]] | None:
+    """(slips, words and initials of ``small`` that are open, what ``large`` says beside) if ``large`` says all that ``small`` says.
+
+    Every word of ``small`` takes a word of ``large`` for itself: an equal one, else a slip of it (at most ``most`` of
+    them), else one that it shortens; an initial takes an initial or a word that it begins. None if one finds nothing.
+    """
+    if small[2] and small[2] != large[2]:
+        return None
+    left = list(large[0])
+    rest, slips, open_ = [], 0, []
+    for w in small[0]:
+        if w in left:
+            left.remove(w)
+        else:
+            rest.append(w)
+    for w in rest:
+        hit = next((x for x in left if alike(w, x)), None) or next((x for x in left if shortens_nearly(w, x)), None) if slips < most else None
+        if hit:
+            slips += 1
+        elif hit := next((x for x in left if shortens(w, x, person)), None):
+            open_.append(w)
+        else:
+            return None
+        left.remove(hit)
+    letters = list(large[1])
+    for c in small[1]:
+        if c in letters:
+            letters.remove(c)
+        elif hit := next((x for x in left if x[0] == c), None):
+            left.remove(hit)
+            open_.append("m:" + c)
+        else:
+            return None
+    return slips, open_, left + ["m:" + c for c in letters] + (["l:" + large[2]] if large[2] and not small[2] else [])
+
+
+SAID = "struct<words:array<string>,initials:array<string>,legal:string>"
+
+
+def parsed(names: DataFrame, name: str, kind: Column) -> DataFrame:
+    """``names`` with words, initials and legal form of ``name``; ``kind`` is ``P`` for persons, else a company is read."""
+
+    @F.pandas_udf(SAID)
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, kinds in batches:
+            rows = [(read_person if k == "P" else read_company)(t or "") for t, k in zip(texts, kinds, strict=True)]
+            yield pd.DataFrame({"words": [list(r[0]) for r in rows], "initials": [list(r[1]) for r in rows], "legal": [r[2] for r in rows]})
 
-def info(content: str = "content", legal: str = "legal") -> Column:
-    """Everything a name says beside its core, as one array; the legal form counts as a word ``l:``."""
-    return F.when(F.col(legal) != "", F.concat(F.col(content), F.array(F.concat(F.lit("l:"), F.col(legal))))).otherwise(F.col(content))
+    return names.withColumn("_p", read(F.col(name), kind)).select("*", "_p.words", "_p.initials", "_p.legal").drop("_p")

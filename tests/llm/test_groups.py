@@ -104,13 +104,26 @@ def test_canonical(spark):
 
 
 def test_lookup_by_shuffle(spark, monkeypatch):
-    a = spark.createDataFrame([("leferedat",), ("lefredat",), ("other",)], "core string")
-    b = spark.createDataFrame([("leferedat",), ("leferedet",)], "core string")
-    want = sorted((r.core, r.ref_core) for r in canonical.near_cores(a, b, 2).collect())
+    stem = "abcdefghijklmnopqrstuvw"
+    typed = ["leferedat", "lefredat", "other", "ab", stem[:18] + "xx", stem[:20], stem[1:], stem * 100]
+    listed = ["leferedat", "leferedet", "ab", "ac", stem[:18], stem[:20] + "z", stem, stem * 100 + "q"]
+    a, b = (spark.createDataFrame([(w,) for w in words], "word string") for words in (typed, listed))
+    want = sorted((r.word, r.ref_word) for r in canonical.near_words(a, b, 2).collect())
     monkeypatch.setattr(canonical, "BROADCAST_ROWS", 0)
-    assert sorted((r.core, r.ref_core) for r in canonical.near_cores(a, b, 2).collect()) == want
-    brute = sorted((x, y) for x in ("leferedat", "lefredat", "other") for y in ("leferedat", "leferedet") if names.osa(x, y, 2) <= 2)
-    assert want == brute
+    assert sorted((r.word, r.ref_word) for r in canonical.near_words(a, b, 2).collect()) == want
+    assert want == sorted((x, y) for x in typed for y in listed if names.osa(x, y, 2) <= canonical.edits_allowed(x, y, 2))
+
+
+def test_canonical_unseen_vocabulary(spark):
+    """Names of ordinary words, none of them in a table: slips in any word, words joined, short forms, other companies."""
+    listed = [("C1", "Blue Harbor Robotics Inc.", "BHR", "1", "11"), ("C2", "Quill River Bakery Ltd", "QRB", "2", "22"), ("C3", "Copper Lantern Shipyards plc", "CLS", "3", "33"), ("C4", "Quill Valley Tannery Ltd", "QVT", "4", "44")]
+    typed = [
+        ("Blue Harbour Robotics", "C1"), ("Blue Harbor Robtics", "C1"), ("Robotics, Blue Harbor", "C1"), ("BlueHarbor Robotics Inc", "C1"), ("Quill Rver Bakery", "C2"), ("Quill River Bakry Ltd", "C2"), ("The Quil River Bkry", "C2"),
+        ("Coper Lantern Shipyards", "C3"), ("Copper Lantrn Shipyrds plc", "C3"), ("Blue Harbor Foods", "UNMATCHED"), ("Blue Harbor Robotics Europe", "UNMATCHED"), ("Quill River Bakery plc", "UNMATCHED"), ("Blue", "UNMATCHED"), ("Quill", "UNMATCHED"), ("local rivals", "UNMATCHED"),
+    ]
+    df = spark.createDataFrame([(i, "S", None, n) for i, (n, _) in enumerate(typed)], "row_id bigint, sourcecompanyid string, targetcompanyid string, targetcompanyname string")
+    got = {r.row_id: r.companyid for r in canonical.matched_companies(df, spark.createDataFrame(listed, "companyid string, name string, ticker string, cik string, cusip string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(typed)}
 
 
 def test_distances():
@@ -130,3 +143,70 @@ def test_variants(spark):
     want = {tuple(sorted((x, y), key=lambda s: s.encode())) for group in (one, sister, ann, bob) for x in group for y in group if x != y}
     assert got == want
     assert variants.variant_pairs(spark.createDataFrame([], "name string, kind string")).count() == 0
+
+
+WORDS = "amber anvil badger basalt beacon birch bramble canyon cedar cinder cobalt copper cornice dapple ember falcon fathom fennel garnet granite harbor heron hollow indigo ivory juniper kestrel lantern larch linden magnet maple marble meadow nickel nutmeg oriole osprey otter pebble pepper quarry quartz raven rowan saffron sable thicket thistle timber tundra velvet walnut willow zephyr".split()
+TRADES = "bakery brewery cannery carpentry ceramics clockworks creamery distillery foundry glassworks hatchery joinery masonry millinery orchards pottery ropeworks saddlery sawmill shipyards smithy tannery upholstery vineyards weavers".split()
+FIRST = "Abelard Bettina Caspian Delphine Evander Fiorella Giuseppe Hesper Ignatius Jocasta Leopold Marisol Nikolai Ottoline Percival Quirino Rosalind Sebastian Tamsin Ulrika".split()
+LAST = "Ashdown Brackenbury Castellano Drummond Ellingham Fairweather Gallardo Hathersage Illingworth Jernigan Kowalczyk Lindqvist Montefiore Netherby Oyelaran Pemberton Quintanilla Ravensworth Stromberg Thackeray".split()
+
+
+def slip(rng, word):
+    at = rng.randrange(1, len(word) - 1)
+    return rng.choice((word[:at] + word[at + 1 :], word[:at] + word[at] + word[at:], word[:at] + word[at + 1] + word[at] + word[at + 2 :], word[:at] + rng.choice("aeiorstn") + word[at + 1 :]))
+
+
+def unseen_names(rng):
+    """Entities with their spellings, of a vocabulary that no table holds; sisters share two words, relatives a surname."""
+    groups = []
+    for k in range(150):
+        a, b, t, u = *rng.sample(WORDS, 2), *rng.sample(TRADES, 2)
+        form = rng.choice(("Inc.", "Ltd", "plc"))
+        for trade in (t, u) if k % 4 == 0 else (t,):
+            full = f"{a} {b} {trade}".title()
+            spelt = {full, f"{full} {form}", f"{full.upper()} {form.upper()}", f"{trade.title()}, {a.title()} {b.title()}", f"The {full} {form}"}
+            spelt |= {" ".join(slip(rng, w) if i == j else w for i, w in enumerate((a, b, trade))).title() + " " + form for j in range(3)}
+            groups.append(("C", sorted(spelt)))
+    for k in range(80):
+        f, g, last, m = *rng.sample(FIRST, 2), rng.choice(LAST) + LAST[k % 20].lower(), rng.choice("BCDHKMNR")
+        for first in (f, g) if k % 4 == 0 else (f,):
+            groups.append(("P", sorted({f"{first} {last}", f"{first} {m}. {last}", f"{last}, {first}", f"{last} {first}", f"Dr. {first} {slip(rng, last)}", f"{slip(rng, first)} {m}. {last}"})))
+    return groups
+
+
+def test_variants_unseen_vocabulary(spark):
+    rng = random.Random(11)
+    groups = unseen_names(rng)
+    lower = {w for table in (names.SHORT, names.NICKNAMES) for w in table.replace("\n", "").replace("|", " ").split()}
+    assert not lower & {*WORDS, *TRADES, *(x.lower() for x in FIRST), *(x.lower() for x in LAST)}
+    rows = [(n, kind) for kind, spelt in groups for n in spelt]
+    got = {(r.name_a, r.name_b) for r in variants.variant_pairs(spark.createDataFrame(rows, "name string, kind string")).collect()}
+    owners = {}
+    for i, (_, spelt) in enumerate(groups):
+        for n in spelt:
+            owners.setdefault(n, set()).add(i)
+    want = {(x, y) for _, spelt in groups for x in spelt for y in spelt if x < y}
+    right = sum(1 for a, b in got if owners[a] & owners[b])
+    assert len(want & got) >= 0.9 * len(want), (len(want & got), len(want))
+    assert right >= 0.97 * len(got), (right, len(got))
+
+
+def test_variants_ordinary_names(spark):
+    same = [
+        ("C", "Blue Harbor Robotics Inc.", "Robotics, Blue Harbor"), ("C", "Quill River Bakery Ltd", "Quil River Bakery"), ("C", "Eyl Software Inc", "Ely"),
+        ("P", "Giuseppe Verdacchio", "Verdacchio Giuseppe"), ("P", "Francisco Delgado", "Paco Delgado"), ("C", "hifibubol cargo ltd", "hufbiubol cargo ltd"),
+    ]
+    others = [("C", "Blue Harbor Foods Inc."), ("P", "Maria Delgado"), ("C", "Quill Valley Tannery Ltd")]
+    rows = [(n, k) for k, a, b in same for n in (a, b)] + [(n, k) for k, n in others]
+    got = {frozenset((r.name_a, r.name_b)) for r in variants.variant_pairs(spark.createDataFrame(rows, "name string, kind string")).collect()}
+    assert {frozenset(x[1:]) for x in same[:5]} <= got and not any(n in p for p in got for _, n in others)
+
+
+def test_blocks_keep_pairs():
+    """Blocking recall: of all pairs of words that the comparison takes for slips, those that share a block."""
+    rng = random.Random(3)
+    words = sorted({slip(rng, w) for w in (x.lower() for x in [*WORDS, *TRADES, *FIRST, *LAST]) for _ in range(6)} | {"ely", "eyl", "hifibubol", "hufbiubol", "maguwacal", "mauwacal", "a" * 40, "a" * 41})
+    keys = {w: names.block_keys(w) for w in words}
+    pairs = [(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 2 and names.alike(a, b)]
+    kept = sum(1 for a, b in pairs if keys[a] & keys[b])
+    assert len(pairs) > 300 and kept == len(pairs)
