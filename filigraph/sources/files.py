@@ -60,8 +60,8 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def with_surrogate_ids(df: DataFrame, order: list[str], prefix: str, name: str = "surrogate_id") -> DataFrame:
-    """``df`` with ids ``C001``, ``C002``, ... in ``order``, numbered without gathering the rows in one task.
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with numbers 0, 1, 2, ... in ``order``, without gathering the rows in one task.
 
     Rows are range-partitioned and sorted, numbered within partitions, and shifted by the sizes of those before.
     """
@@ -69,8 +69,13 @@ def with_surrogate_ids(df: DataFrame, order: list[str], prefix: str, name: str =
     sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))  # one row per slice
     shifted = placed.join(F.broadcast(sizes.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))), "_slice")
-    n = F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    return shifted.withColumn(name, surrogate(prefix, n)).drop("_slice", "_n", "_before")
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1
+    return shifted.withColumn(name, n).drop("_slice", "_before")
+
+
+def with_surrogate_ids(df: DataFrame, order: list[str], prefix: str, name: str = "surrogate_id") -> DataFrame:
+    """``df`` with ids ``C001``, ``C002``, ... in ``order``; see :func:`numbered`."""
+    return numbered(df, order, "_at").withColumn(name, surrogate(prefix, F.col("_at") + 1)).drop("_at")
 
 
 def backup(graph: Graph, path: str) -> DataFrame:
