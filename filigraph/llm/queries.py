@@ -38,10 +38,15 @@ def p6_fused(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Problem 6: survivor and donors of every duplicate group, as the fusion reports them."""
+    """Problem 6: survivor and donors of every duplicate group, from the scored claims of the fusion."""
     return p6_fused(spark, folder).select("survivor_id", "prop", "donor_id")
 
 
+def p6_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """Problem 6: fields that fusion and a plain majority get right with copiers planted over the whole table."""
+    return survivors.planted_accuracy(table(spark, folder, "snapshot_entities"))
+
+
 #: Sources that one container may not mix.
 APART = (("call_notes", "press"), ("press", "proxy"))
 
@@ -93,7 +98,7 @@ select s.survivor survivor_id, v.prop, arg_min(v.element_id, v.rn) donor_id from
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_kept)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p6_planted, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_kept)}
 
 
 def oracle_sql() -> dict[str, str]:

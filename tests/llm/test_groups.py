@@ -1,12 +1,13 @@
 """Components, survivors, canonical mapping and spelling variants against plain versions, and their edge cases."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from filigraph.llm import canonical, names, survivors, variants
+from filigraph.llm import canonical, names, queries, survivors, variants
 from filigraph.llm.components import connected_groups, merge_groups, says_merge
 
 
@@ -85,6 +86,42 @@ def test_fusion_discounts_copies(spark):
     assert got["Z"] == "T" and got["G0"] == "T"
 
 
+def test_pair_counts_against_double_loop(spark, monkeypatch):
+    monkeypatch.setattr(survivors, "SLICE_PAIRS", 50)
+    rng = random.Random(2)
+    rows = {(k, rng.randrange(1200)): round(rng.random(), 3) for k in range(12) for _ in range(rng.randrange(1, 40))}
+    weight = {k: w for (k, _), w in rows.items()}
+    got = {(r.s1, r.s2): (r.w, r.one) for r in survivors.pair_counts(spark.createDataFrame([(k, s, weight[k], 1.0) for k, s in rows], "k long, s long, w double, one double"), ["k"], ["w", "one"]).collect()}
+    want = {}
+    for k, s in rows:
+        for l, t in rows:
+            if k == l and s < t:
+                a, b = want.get((s, t), (0.0, 0.0))
+                want[s, t] = (a + weight[k], b + 1)
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_fusion_beats_majority_among_copiers(spark):
+    rows = [entity(f"{g}{i}", name=f"G{g}", props={f"k{j}": f"v{g}" for j in range(4)}) for g in range(300) for i in range(2)]
+    got = {r.rule: r for r in survivors.planted_accuracy(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["fusion"].fields > 900 and got["fusion"].right >= 0.9 * got["fusion"].fields and got["majority"].right <= 0.65 * got["majority"].fields
+
+
+def test_sql_of_groups_and_survivors(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    con = duckdb.connect()
+    for name in ("merge_decisions", "snapshot_entities"):
+        con.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, folder)
+        found = con.sql(sql)
+        at = [found.columns.index(c) for c in df.columns]
+        assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in found.fetchall()), name
+
+
 COMPANIES = [("C001", "Rafecejot General Insurance Ltd.", "RAEC", "4796000", "370000400"), ("C017", "Leferedat Software Inc.", "LEER", "7358016", "110000000"), ("C020", "Cameleser Data Foods plc", "CAFO", "0000123", "1")]
 
 
