@@ -1,6 +1,7 @@
 """Neighbours, packing, mixing and residue against brute force and invariants, and their edge cases."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -44,6 +45,43 @@ def test_hot_shard_is_cut(spark, monkeypatch):
     assert recall(spark, clustered(1500, seed=3), 1.0, 1500) > 0.9999
 
 
+def test_router_of_several_stages(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "STAGE_LEVELS", 2)
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 400)
+    x = clustered(2400, seed=9)
+    assert recall(spark, x, 1.0, 150) > 0.9999
+    vectors = neighbours.usable_vectors(spark.createDataFrame([(f"{i:06}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>"), "id", "v", 64)
+    router = neighbours.fitted_router(vectors, 64, 2400, 150)
+    sizes = vectors.groupBy(neighbours.home_shard(vectors, router, 64).alias("s")).count().toPandas()["count"]
+    assert router.depth == 4 and len(sizes) == 16 and sizes.max() < 400
+
+
+def test_recall_on_other_vectors(spark):
+    """The default factor was chosen on another table; here every row divisible by 20 is asked against all rows."""
+    folder = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("the test tables are not here")
+    df = spark.read.parquet(folder)
+    rows = df.toPandas()
+    x = np.stack(rows["embedding"]).astype(np.float32)
+    want = dict(zip(rows["vec_id"], exact(x, 5), strict=True))
+    found = {}
+    for r in neighbours.nearest(df.withColumn("vec_id", df.vec_id.cast("string")), "vec_id", "embedding", 64, shard_rows=60).collect():
+        found.setdefault(int(r.id), set()).add(int(r.other))
+    asked = [i for i in want if i % 20 == 0]
+    ids = rows["vec_id"].to_numpy()
+    assert sum(len(found[i] & set(ids[list(want[i])].tolist())) for i in asked) >= 0.9 * 5 * len(asked)
+
+
+def test_bound_is_kept():
+    """Neighbours at or below the known bound are neither kept nor counted."""
+    x = clustered(900, seed=5)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best, ids = neighbours.search(x, x, np.arange(900), 5, 1.0)
+    kept, rows = neighbours.search(x, x, np.arange(900), 5, 1.0, best[:, 1] + np.float32(1e-6))
+    assert (np.count_nonzero(rows >= 0, axis=1) <= 1).all() and np.allclose(kept[rows[:, 0] >= 0, 0], best[rows[:, 0] >= 0, 0])
+
+
 def test_neighbours_edges(spark):
     bad = [("n", None), ("s", [1.0, 2.0]), ("z", [0.0] * 4), ("f", [float("nan"), 1.0, 1.0, 1.0]), ("i", [float("inf"), 1.0, 1.0, 1.0]), (None, [1.0] * 4), ("h", [None, 1.0, 1.0, 1.0])]
     good = [("a", [1.0, 0.0, 0.0, 0.0]), ("a", [1.0, 0.0, 0.0, 0.0]), ("b", [2.0, 0.1, 0.0, 0.0]), ("c", [0.0, 1.0, 0.0, 0.0])]
