@@ -76,19 +76,25 @@ def without_blank_keys(graph: Graph, label: str, column: str) -> Graph:
     return detach_delete(graph, label, blank)
 
 
-def final_survivors(merges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(id, survivor) with chains followed to their end, by pointer doubling; ``merges`` maps each id to a survivor."""
-    state = cut(merges.select("id", "survivor").filter("id <> survivor").groupBy("id").agg(F.min("survivor").alias("survivor")))
-    for _ in range(max_rounds):
-        after = state.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"))
-        step = state.join(after, "survivor", "left").filter(F.coalesce(F.col("next") != F.col("id"), F.lit(True)))
-        new = cut(step.select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
-        moved = new.filter("moved").limit(1).count()
+def final_survivors(merges: DataFrame) -> DataFrame:
+    """(id, survivor) with chains followed to their end, by pointer doubling; ``merges`` maps each id to a survivor.
+
+    Of several survivors of one id the smallest counts. Merges in a circle leave its smallest id, which is not in the result.
+    """
+    state = cut(merges.select("id", "survivor").filter("id <> survivor").groupBy("id").agg(F.min("survivor").alias("survivor")).withColumn("low", F.least("id", "survivor")))
+    # after so many doublings every chain has ended, and whoever still points on points into a circle
+    for _ in range(int(state.count()).bit_length() + 1):
+        after = state.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"), F.col("low").alias("below"))
+        step = state.join(after, "survivor", "left")
+        new = cut(step.select("id", F.coalesce("next", "survivor").alias("survivor"), F.least("low", F.coalesce("below", "low")).alias("low"), F.col("next").isNotNull().alias("moved")))
+        moved = not new.filter("moved").isEmpty()
         drop_cut(state)
-        state = new
+        state = new.drop("moved")
+        state._filigraph_path = new._filigraph_path
         if not moved:
-            break
-    return state.select("id", "survivor")
+            return state.select("id", "survivor")
+    circle = state.select(F.col("id").alias("survivor"), F.col("low").alias("least"))
+    return state.join(circle, "survivor", "left").select("id", F.coalesce("least", "survivor").alias("survivor")).filter("id <> survivor")
 
 
 def fuse_nodes(nodes: DataFrame, key: str, merges: DataFrame, order: Column) -> DataFrame:
@@ -105,11 +111,21 @@ def fuse_nodes(nodes: DataFrame, key: str, merges: DataFrame, order: Column) ->
     return kept.select(key, *(F.coalesce(said(c), F.col(f"_o_{c}"), F.col(c)).alias(c) for c in rest))
 
 
-def redirect_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """``edges`` with consumed ends replaced by survivors; parallel ones collapse, loops that arise stay."""
-    a, b = (merges.select(F.col("id").alias(e), F.col("survivor").alias(f"_{e}")) for e in ("src", "dst"))
-    moved = edges.join(a, "src", "left").join(b, "dst", "left")
-    return moved.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")).distinct()
+def redirect_edges(edges: DataFrame, merges: DataFrame, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:
+    """``edges`` with consumed ``ends`` replaced by survivors, all properties kept; loops that arise stay.
+
+    Edges that do not move stay as they are. Of moved ones that become parallel one stays: that of the smallest old ends;
+    none stays where an edge that did not move joins the same nodes.
+    """
+    moved = edges
+    for e in ("src", "dst"):
+        moved = moved.join(merges.select(F.col("id").alias(e), F.col("survivor").alias(f"_{e}")), e, "left") if e in ends else moved.withColumn(f"_{e}", F.lit(None).cast(dict(edges.dtypes)[e]))
+    still = moved.filter("_src is null and _dst is null").select(*edges.columns)
+    gone = moved.filter("_src is not null or _dst is not null")
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    turned = gone.groupBy(F.coalesce("_src", "src").alias("_s"), F.coalesce("_dst", "dst").alias("_d")).agg(F.min_by(F.struct(*rest, F.lit(0).alias("_")), F.struct("src", "dst")).alias("_r"))
+    turned = turned.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *(F.col("_r")[c].alias(c) for c in rest))
+    return still.unionByName(turned.join(still.select("src", "dst"), ["src", "dst"], "left_anti"))
 
 
 def combine_by_name(nodes: DataFrame, name: str, columns: list[str]) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigraph import schema
 from filigraph.functions import expressions as X
 from filigraph.graph import Graph
 from filigraph.operators import mutate, resolve, retrieve, text
@@ -139,7 +141,11 @@ def apply_cleanse(graph: Graph, label: str, value: str, plan: CleansePlan) -> Gr
     merges = mutate.final_survivors(plan.merges)
     out = out.with_nodes(label, mutate.fuse_nodes(out.nodes[label], key, merges, F.col(key)))
     for kind, edges in out.edges.items():
-        out = out.with_edges(kind, mutate.redirect_edges(edges, merges))
+        known = schema.EDGES.get(kind)
+        # ids of one label may be those of another too: only ends that the label may stand at are redirected
+        ends = tuple(e for i, e in enumerate(("src", "dst")) if known is None or any(pair[i] == label for pair in known.ends))
+        if ends:
+            out = out.with_edges(kind, mutate.redirect_edges(edges, merges, ends))
     updates = plan.changes.select(F.col("id").alias(key), F.col("after").alias(value))
     return out.with_nodes(label, mutate.set_field(out.nodes[label], updates, key, value))
 
@@ -184,27 +190,56 @@ class NotReadOnly(ValueError):
     """The statement would do more than read."""
 
 
+#: What a query may be made of, by the names of Spark's parsed plan nodes.
+READING = frozenset(
+    "Project Filter Join LateralJoin Aggregate Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith Union Intersect Except Generate "
+    "WithWindowDefinition UnresolvedHaving UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedHint Pivot Unpivot Sample UnresolvedOrderBy UnresolvedTableValuedFunction".split()
+)
+#: Table functions that only make rows, functions that call whatever class is named, and relations that are files.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+CALLING = frozenset("java_method reflect try_reflect".split())
+SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery".split())
+FILES = frozenset("parquet csv json text orc avro xml binaryfile jdbc delta".split())
+
+
+def _items(sequence: Any) -> list[Any]:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
 def safe_sql(spark: SparkSession, statement: str, **arguments: object) -> DataFrame:
-    """Run a statement that Spark's own parser says is a query; anything else is refused before it runs."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    kinds = {plan.getClass().getSimpleName()}
-    walk = [plan]
+    """Run a statement that consists of nothing but the parts of a query; anything else is refused before it runs.
+
+    The parts are those of :data:`READING`, in subqueries and named queries too. Scripts, commands, statements made at run
+    time, functions that call classes by name and files in place of tables are refused.
+    """
+    try:
+        walk = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    except Exception as error:
+        raise NotReadOnly(f"not a query: {str(error).splitlines()[0]}") from error
     while walk:
         node = walk.pop()
-        kinds.add(node.getClass().getSimpleName())
-        children = node.children()
-        walk += [children.apply(i) for i in range(children.size())]
-    bad = [k for k in kinds if re_command(k)]
-    if bad:
-        raise NotReadOnly(f"not a query: {', '.join(sorted(bad))}")
+        kind = node.getClass().getSimpleName()
+        if kind not in READING:
+            raise NotReadOnly(f"not a part of a query: {kind}")
+        if kind == "UnresolvedRelation" and node.multipartIdentifier().size() > 1 and node.multipartIdentifier().apply(0).lower() in FILES:
+            raise NotReadOnly("files are no tables here")
+        if kind == "UnresolvedTableValuedFunction" and node.name().mkString(".").lower() not in TABLE_FUNCTIONS:
+            raise NotReadOnly(f"not a table function of queries: {node.name().mkString('.')}")
+        if kind == "UnresolvedWith":
+            walk += [pair._2() for pair in _items(node.cteRelations())]
+        walk += _items(node.children())
+        inner = _items(node.expressions())
+        while inner:
+            part = inner.pop()
+            name = part.getClass().getSimpleName()
+            if name == "UnresolvedFunction" and part.nameParts().mkString(".").lower().split(".")[-1] in CALLING:
+                raise NotReadOnly(f"calls a class by name: {part.nameParts().mkString('.')}")
+            if name in SUBQUERIES:
+                walk.append(part.plan())
+            inner += _items(part.children())
     return spark.sql(statement, args=arguments or None)
 
 
-def re_command(kind: str) -> bool:
-    """Whether the class name of a plan node is that of a command or a write."""
-    return kind.endswith("Command") or any(kind.startswith(w) for w in ("Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Replace", "Truncate", "Set", "Add", "Overwrite", "Append", "Cache", "Uncache", "Refresh", "Load", "Rename", "Recover", "Analyze"))
-
-
 def schema_summary(graph: Graph) -> DataFrame:
     """(kind, name, column, type) of all labels and edge types."""
     rows = [(kind, name, c, t) for kind, frames in (("node", graph.nodes), ("edge", graph.edges)) for name, df in frames.items() for c, t in df.dtypes]

@@ -81,6 +81,18 @@ def test_fusion(spark):
     assert pairs(mutate.fuse_nodes(nodes, "id", final, F.col("id"))) == [("s", "S", "late")]
     edges = spark.createDataFrame([("x", "q"), ("y", "q"), ("x", "s")], "src string, dst string")
     assert pairs(mutate.redirect_edges(edges, final)) == [("s", "q"), ("s", "s")]
+    rich = spark.createDataFrame([("x", "q", 1), ("y", "q", 2), ("s", "r", 3), ("x", "r", 4), ("k", "x", 5), ("k", "z", 6)], "src string, dst string, shares int")
+    assert pairs(mutate.redirect_edges(rich, final)) == [("k", "s", 5), ("s", "q", 1), ("s", "r", 3)]
+    assert pairs(mutate.redirect_edges(rich, final, ("dst",))) == [("k", "s", 5), ("s", "r", 3), ("x", "q", 1), ("x", "r", 4), ("y", "q", 2)]
+
+
+def test_merges_in_a_circle(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "id string, survivor string")
+    assert pairs(mutate.final_survivors(make(("a", "b"), ("b", "c"), ("c", "a")))) == [("b", "a"), ("c", "a")]
+    long = [(f"n{i:03}", f"n{i + 1:03}") for i in range(90)]
+    assert pairs(mutate.final_survivors(make(*long))) == [(a, "n090") for a, _ in long]
+    assert pairs(mutate.final_survivors(make(("t", "u"), ("u", "c"), ("c", "b"), ("b", "c"), ("x", "y")))) == [("c", "b"), ("t", "b"), ("u", "b"), ("x", "y")]
+    assert pairs(mutate.final_survivors(make(("a", "a")))) == []
 
 
 def test_combine_and_keys(spark):
