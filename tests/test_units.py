@@ -4,7 +4,7 @@ from fractions import Fraction as Q
 
 import pytest
 
-from filigraph.operators.units import converted_quantities, nearest, number, period_months, value_quantity
+from filigraph.operators.units import HEAT, RATIO, UNITS, converted_quantities, expression, nearest, number, period_months, value_quantity
 
 
 @pytest.mark.parametrize(
@@ -48,6 +48,40 @@ def test_period(text, want):
     assert period_months(text) == want
 
 
+@pytest.mark.parametrize(
+    ("name", "value", "want"),
+    [
+        ("Energy intensity", "120 kWh/m²", None), ("Energy intensity", "120 kWh per m2", None), ("Waste", "5 kg per employee", None), ("Revenue", "CNY 5 million", None), ("Revenue", "5 million CNY", None), ("Price", "USD 5 per tonne", None), ("Heat", "20 °C", None), ("Road", "3 km", None),
+        ("Revenue", "5 to 7 million USD", None), ("Revenue", "$5.2 million, up 3%", ("USD_CENTS", "USD", Q("520000000"))), ("Revenue", "$5 million (2023: $4 million)", ("USD_CENTS", "USD", Q(500_000_000))), ("Area", "12,500 m2", ("SQM", None, Q(12500))), ("Area", "3 km2", ("SQM", None, Q(3_000_000))),
+        ("Area", "900 ft2", ("SQM", None, 900 * Q("0.09290304"))), ("Area (m2)", "40", ("SQM", None, Q(40))), ("Revenue (in 000s)", "7", ("USD_CENTS", "USD", Q(700_000))), ("Area", "6 km * m", ("SQM", None, Q(6000))), ("Area", "8 ft^2", ("SQM", None, 8 * Q("0.09290304"))),
+        ("Rate", "5% per annum", ("BASIS_POINTS", None, Q(500))), ("Rate", "5% per year", ("BASIS_POINTS", None, Q(500))), ("Dividend", "$2 per share", ("USD_CENTS", "USD", Q(200))), ("Dividend", "$2/share", ("USD_CENTS", "USD", Q(200))), ("Power", "2 kWh per year", None),
+        ("Debt", "$" + "9" * 17 + " million", ("USD_CENTS", "USD", Q(int("9" * 17)) * 10**8)), ("Area", "5 m2/m2", ("BASIS_POINTS", None, Q(5))),
+    ],
+)
+def test_unit_algebra(name, value, want):
+    if value == "5 m2/m2":  # a quotient of equal units has no dimension, and 1 is no percentage
+        assert expression(value).unit[0] == RATIO
+    else:
+        assert value_quantity(value, name, None) == want
+
+
+def test_offsets():
+    dim, scale, offset = UNITS["°f"]
+    assert (32 + offset) * scale == Q("273.15") and dim == UNITS["celsius"][0] == HEAT and (100 + UNITS["°c"][2]) * UNITS["°c"][1] == Q("373.15")
+
+
+@pytest.mark.parametrize(("text", "want"), [("three and a half years", 42), ("1 year 6 months", 18), ("two years and three months ended x", 27), ("2 1/2 years", 30), ("18-month period", 18), ("6 months, 2019; 3 months, 2018", 6)])
+def test_compound_spans(text, want):
+    assert period_months(text) == want
+
+
+def test_big_amounts_and_exact_rates(spark):
+    rows = [("a", "Debt", "EUR 12,345,678,901,234,567", None), ("b", "Debt", "USD " + "9" * 40, None), ("c", "Debt", "VND 5", None), ("d", "Debt", "JPY 3", None)]
+    fx = spark.createDataFrame([("EUR", 1.0000001), ("USD", 1.0), ("JPY", 12345.5)], "currency string, usd_per_unit double")
+    got = {r.metricid: r.amount for r in converted_quantities(spark.createDataFrame(rows, "metricid string, name string, value string, period string"), fx).collect()}
+    assert got == {"a": nearest(Q(1234567890123456700) * Q("1.0000001")), "d": 3703650}
+
+
 def test_rounding():
     assert [nearest(Q(x)) for x in ("2.5", "-2.5", "2.4999", "0")] == [3, -3, 2, 0]
 
