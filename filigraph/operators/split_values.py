@@ -28,7 +28,9 @@ OFFICES = (
 )
 _PROSE = r"(?s)^\s*[^\[\"'].*\S+(?:\s+\S+){3,}.*[.!?]\s*$"
 _STAND_IN = r"(?i)^\s*(?:n/?a|n\.a\.?|none|null|nil|unknown|tb[dc]|-+|\?+|\.+)?\s*$"
-_MARKS = r"^[\s;|•·–+/\t,*]+|[\s;|•·–+/\t,]+$"
+#: Signs that only ever part values.
+GLYPHS = "•·‣›▪◦●■□►▶※、；｜，"
+_MARKS = rf"^[\s;|{GLYPHS}–+/\t,*]+|[\s;|{GLYPHS}–+/\t,]+$"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\r\n")] = True
@@ -121,8 +123,8 @@ def split_array(texts: pa.Array, offices: bool) -> tuple[np.ndarray, np.ndarray,
     back = np.maximum.accumulate(np.where(space & inside, -1, at))
     ahead = np.minimum.accumulate(np.where(space & inside, size, at)[::-1])[::-1]
     left, right = data[np.clip(_shift(back, -1, 0), 0, size - 1)], data[np.clip(_shift(ahead, 1, size - 1), 0, size - 1)]
-    tail = np.isin(left, (0xA2, 0xB7, 0x93))  # last bytes of the bullets and the dash below
-    head = np.isin(right, (0xE2, 0xC2))
+    tail = np.isin(left, [0x93, *(g.encode()[-1] for g in GLYPHS)])  # last bytes of the signs and the dash below
+    head = np.isin(right, [0xE2, *(g.encode()[0] for g in GLYPHS)])
     word_before = space[np.clip(at - 1, 0, size - 1)] & np.isin(left, list(b"d"))  # "and " before a quoted item
     breaks = list(b"\t\r\n")
     before = _EDGE[left] | tail | word_before | np.isin(prev, breaks)
@@ -134,11 +136,11 @@ def split_array(texts: pa.Array, offices: bool) -> tuple[np.ndarray, np.ndarray,
     spaced = space[np.clip(at - 1, 0, size - 1)] & _SPACE[nxt]
     cut_len = np.zeros(size, np.int64)  # length of the delimiter that starts at a byte
 
-    def mark(mask: np.ndarray, length: int) -> None:
-        cut_len[mask & free] = length
+    def mark(mask: np.ndarray, length: int | np.ndarray) -> None:
+        cut_len[mask & free] = length if isinstance(length, int) else length[mask & free]
 
     mark(np.isin(data, list(b";|\t\n\r")), 1)
-    for text in ("•", "·"):
+    for text in GLYPHS:
         b = text.encode()
         mark(np.logical_and.reduce([_shift(data, i) == x for i, x in enumerate(b)]), len(b))
     dash = "–".encode()
@@ -157,17 +159,20 @@ def split_array(texts: pa.Array, offices: bool) -> tuple[np.ndarray, np.ndarray,
     mark((data == ord("-")) & line & (nxt == 32), 2)
     digit = _DIGIT[data]
     fresh = (at == start[row]) | space[np.clip(at - 1, 0, size - 1)]
-    for digits in (1, 2):
-        run = np.logical_and.reduce([_shift(digit, i) for i in range(digits)]) & ~_shift(digit, digits)
-        numbered = fresh & run & (_shift(data, digits) == ord(".")) & (_shift(data, digits + 1) == 32)
-        inner = _shift(run, 1, False)
-        circled = fresh & (data == ord("(")) & inner & (_shift(data, digits + 1) == ord(")")) & (_shift(data, digits + 2) == 32)
-        for hit, length in ((numbered, digits + 1), (circled, digits + 2)):
-            # numbering is a list mark only where the text begins with it
-            first = np.zeros(n, bool)
-            lead = hit & (at == np.minimum(ahead[np.clip(start, 0, size - 1)], size - 1)[row]) & free
-            first[row[lead]] = True
-            mark(hit & first[row], length)
+    # numbers of any length and single letters
+    stop_digit = np.minimum.accumulate(np.where(digit, size, at)[::-1])[::-1]
+    label_end = np.where(digit & ~_shift(digit, -1, False), stop_digit, np.where((data >= ord("a")) & (data <= ord("z")), at + 1, -1))
+    closing = data[np.clip(label_end, 0, size - 1)]
+    spaced_after = data[np.clip(label_end + 1, 0, size - 1)] == 32
+    numbered = fresh & (label_end > 0) & ((closing == ord(")")) | (closing == ord(".")) & digit) & spaced_after
+    inner = _shift(label_end, 1, -1)
+    circled = fresh & (data == ord("(")) & (inner > 0) & (data[np.clip(inner, 0, size - 1)] == ord(")")) & (data[np.clip(inner + 1, 0, size - 1)] == 32)
+    for hit, length in ((numbered, label_end - at + 1), (circled, inner - at + 1)):
+        # numbering is a list mark only where the text begins with it
+        first = np.zeros(n, bool)
+        lead = hit & (at == np.minimum(ahead[np.clip(start, 0, size - 1)], size - 1)[row]) & free
+        first[row[lead]] = True
+        mark(hit & first[row], length)
     mark(literal[row] & (data == ord(",")), 1)
     mark(literal[row] & ((at == np.minimum(ahead[start], size - 1)[row]) | (at == np.maximum(back[np.clip(end - 1, 0, size - 1)], 0)[row])), 1)
 

@@ -83,3 +83,15 @@ def test_frame_edges(spark):
 def test_items_hold_no_delimiter(spark):
     got = rows(["a b ;c d ; ;e f", "a b\tc d", "- a b\r\n- c d\n"])
     assert all(not re.search(r"[;\t\n]", x) for _, _, x in got) and len(got) == 7
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a) thermal packs b) plug and play hub c) R&D toolkit", ["thermal packs", "plug and play hub", "R&D toolkit"]), ("100. thermal packs 101. plug and play hub", ["thermal packs", "plug and play hub"]), ("1) CFO board 2) cold storage", ["CFO board", "cold storage"]),
+        ("‣ thermal packs ‣ seals kit", ["thermal packs", "seals kit"]), ("thermal packs › seals kit", ["thermal packs", "seals kit"]), ("▪ thermal packs\n▪ seals kit", ["thermal packs", "seals kit"]), ("thermal packs、seals kit；spare hub", ["thermal packs", "seals kit", "spare hub"]),
+        ("Class a) of 3. grade steel", []), ("3.5 inch drive", []),
+    ],
+)
+def test_other_marks(text, want):
+    assert [x for _, _, x in rows([text])] == want
