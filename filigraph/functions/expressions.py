@@ -61,3 +61,21 @@ def entity_line(name: Column, properties: Column) -> Column:
 def surrogate(prefix: str, n: Column) -> Column:
     """``prefix`` and a number of at least three digits; longer numbers are not cut."""
     return F.concat(F.lit(prefix), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0")))
+
+
+#: What a filer's name looks like before "(the "Company")", and at the start of a filing.
+FILER_BEFORE = r"""([A-Z][A-Za-z\s&.,]+(?:Inc\.|Corp(?:oration)?|LLC|Ltd\.?|Co\.|L\.P\.))\s*\((?:the\s+)?["'](?:Company|Registrant)"""
+FILER_FIRST = r"^([A-Z][A-Za-z\s&.,]+(?:Inc\.|Corp(?:oration)?|LLC|Ltd\.?|Co\.|L\.P\.))"
+
+
+def filer_name(text: Column) -> Column:
+    """The filer that the first 500 characters of a filing name, of 3 to 99 letters; null if none is seen."""
+    head = F.substring(text, 1, 500)
+    found = [F.regexp_replace(F.trim(F.regexp_extract(head, pattern, 1)), ",+$", "") for pattern in (FILER_BEFORE, FILER_FIRST)]
+    return F.coalesce(*(F.when(F.length(x).between(3, 99), x) for x in found))
+
+
+def associated_company(properties: Column, chunk: Column) -> Column:
+    """The company of an entity: the first filled of its properties that name one, else the filer in ``chunk``, else ``unknown``."""
+    said = first_filled(*(F.try_element_at(properties, F.lit(k)) for k in ("company", "companyName", "company_name", "filing_company")))
+    return F.coalesce(said, filer_name(chunk), F.lit("unknown"))

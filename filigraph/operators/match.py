@@ -26,8 +26,7 @@ def optional_collection(left: DataFrame, key: str, edges: DataFrame, reverse: bo
 def optional_count(left: DataFrame, key: str, edges: DataFrame, name: str, reverse: bool = False) -> DataFrame:
     """``left`` with the number of distinct neighbours of each row, zero where it has none."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    once = edges.select(near, far).distinct()
-    counted = optional_collection(left, key, once, reverse, **{name: F.count(far)})
+    counted = optional_collection(left, key, edges.select(near, far), reverse, **{name: F.count_distinct(far)})
     return counted.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
 
 

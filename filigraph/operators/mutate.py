@@ -152,3 +152,44 @@ def provenance_links(from_chunk: DataFrame, from_document: DataFrame, filed: Dat
     owner = filed.select(F.col("src").alias("company"), F.col("dst").alias("document"))
     implied = from_chunk.select(F.col("src").alias("entity"), F.col("dst").alias("chunk")).join(chunk, "chunk").join(owner, "document")
     return existing.select("src", "dst").unionByName(implied.select(F.col("company").alias("src"), F.col("entity").alias("dst"))).distinct()
+
+
+def create_rows(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """``rows`` and ``more`` without looking for what is there already: duplicates stay."""
+    return rows.unionByName(more, allowMissingColumns=True)
+
+
+def add_properties(properties: Column, more: dict[str, Column]) -> Column:
+    """A property map with ``more`` put over it; keys that are not listed stay, a null value takes its key away."""
+    new = F.map_filter(F.create_map(*(x for k, v in more.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    kept = F.map_filter(F.coalesce(properties, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*more))
+    return F.map_concat(kept, new)
+
+
+def merge_and_label(nodes: DataFrame, rows: DataFrame, key: str, labels: str, order: Column) -> DataFrame:
+    """Upsert by key with the labels of ``rows`` appended: a node keeps its labels, and the last row's properties win."""
+    said = rows.filter(F.col(key).isNotNull()).select(F.col(key), F.explode(labels).alias("_l")).groupBy(key).agg(F.array_sort(F.collect_set("_l")).alias("_new"))
+    merged = merge_nodes(nodes, rows.drop(labels), key, order).join(said, key, "left")
+    none = F.array().cast("array<string>")
+    return merged.withColumn(labels, F.array_union(F.coalesce(labels, none), F.coalesce("_new", none))).drop("_new")
+
+
+def listed_merges(nodes: DataFrame, key: str, name: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(id, survivor) of a fixed list of (consumed name, surviving name); pairs of which one is missing are skipped.
+
+    Of several nodes of a name the smallest key stands for it.
+    """
+    spark = nodes.sparkSession
+    wanted = spark.createDataFrame(pairs, "gone string, stays string")
+    first = nodes.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_n")).agg(F.min(key).alias("_k"))
+    found = F.broadcast(wanted).join(first.toDF("gone", "id"), "gone").join(first.toDF("stays", "survivor"), "stays")
+    return found.filter("id <> survivor").select("id", "survivor").distinct()
+
+
+def rivals_by_mention(mentioned: DataFrame, filers: DataFrame) -> DataFrame:
+    """(src, dst): a company and every other one that is named in a chunk which it filed, once each.
+
+    ``mentioned`` is (src company, dst chunk), ``filers`` (chunk, company).
+    """
+    both = mentioned.select(F.col("src").alias("other"), F.col("dst").alias("chunk")).join(filers, "chunk")
+    return both.filter(F.col("company") != F.col("other")).select(F.col("company").alias("src"), F.col("other").alias("dst")).distinct()

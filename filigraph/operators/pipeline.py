@@ -166,6 +166,14 @@ def name_differences(a: DataFrame, b: DataFrame, name: str, body: str) -> DataFr
     return x.join(y, name, "full_outer").select(name, where.alias("where"), F.when(where == "both", length).alias("length"))
 
 
+def triple_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(src, type, dst, where): triples of two extractions in ``both``, ``only_a`` or ``only_b``."""
+    key = ["src", "type", "dst"]
+    x, y = (df.select(*key).distinct().withColumn(flag, F.lit(1)) for df, flag in ((a, "_a"), (b, "_b")))
+    where = F.when(F.col("_a").isNull(), "only_b").when(F.col("_b").isNull(), "only_a").otherwise("both")
+    return x.join(y, key, "full_outer").select(*key, where.alias("where"))
+
+
 def missing_names(nodes: DataFrame, name: str, expected: list[str]) -> DataFrame:
     """(name) of the expected names that no node has."""
     wanted = nodes.sparkSession.createDataFrame([(x,) for x in expected], f"{name} string")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,22 +35,45 @@ def chunk_chain(chunks: DataFrame, document: str, index: str, key: str) -> DataF
 
 
 def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """A deterministic bag-of-words vector of unit length: words are hashed to ``width`` signed buckets."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    spot = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).alias("b"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(spot, F.lit(0.0), lambda t, x: t + F.when(x["b"] == i, x["s"]).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda t, x: t + x * x))
-    return F.transform(sums, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    """A deterministic bag-of-words vector of unit length: words are hashed to ``width`` signed buckets, in one Arrow pass."""
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            words = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), r"[^\p{L}\p{N}]+", " ")) if len(texts) else pa.array([], pa.large_list(pa.large_string()))
+            flat = pc.list_flatten(words)
+            known = pc.dictionary_encode(flat)
+            if isinstance(known, pa.ChunkedArray):
+                known = known.combine_chunks()
+            codes = np.array([zlib.crc32(w.encode()) for w in known.dictionary.to_pylist()], np.int64)
+            codes = codes[known.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+            full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+            row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+            sign = np.where((codes >> 16) % 2 == 0, 1.0, -1.0)
+            sums = np.bincount((row * width + codes % width)[full], weights=sign[full], minlength=len(texts) * width).reshape(len(texts), width)
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            sums = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0).astype(np.float32)
+            yield pd.Series([None if t is None else v for t, v in zip(texts, sums, strict=True)], dtype=object)
+
+    return embed(text)
+
+
+def normal_words(text: Column) -> Column:
+    """The lower-case runs of letters and digits of a text between single blanks, one before and after; ``' '`` if none."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
 def mentions(chunks: DataFrame, key: str, text: str, names: DataFrame, name: str, name_key: str) -> DataFrame:
-    """(src, dst): names that a text holds as whole words, found by an equi-join on the first word of the name.
+    """(src, dst): names whose words a text holds one after the other, whatever stands between words.
 
-    A text is exploded into its word positions; a candidate is verified in the text, so no pair of all texts and all
-    names is ever formed.
+    A text and a name meet by the word of the name that the fewest texts hold, and a candidate is verified in the text,
+    so no pair of all texts and all names is ever formed. Null names and names without a letter or digit are in no text.
     """
-    first = F.regexp_extract(F.lower(name), r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1)
-    wanted = names.filter(F.col(name).isNotNull()).select(F.col(name_key).alias("src"), F.lower(F.trim(name)).alias("_name"), first.alias("_word")).filter("_word <> ''")
-    words = chunks.select(F.col(key).alias("dst"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))).alias("_word"))
-    hits = words.join(wanted, "_word").join(chunks.select(F.col(key).alias("dst"), F.lower(text).alias("_text")), "dst")
+    wanted = names.filter(F.col(name).isNotNull()).select(F.col(name_key).alias("src"), normal_words(F.col(name)).alias("_name")).filter("_name <> ' '")
+    parts = wanted.select("src", "_name", F.explode(F.array_distinct(F.split(F.trim("_name"), " "))).alias("_word"))
+    texts = chunks.select(F.col(key).alias("dst"), normal_words(F.col(text)).alias("_text"))
+    words = texts.select("dst", F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("_word")).join(parts.select("_word").distinct(), "_word", "left_semi")
+    held = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_held"))
+    rarest = parts.join(held, "_word", "left").groupBy("src", "_name").agg(F.min_by("_word", F.struct(F.coalesce("_held", F.lit(0)), "_word")).alias("_word"))
+    hits = words.join(rarest, "_word").join(texts, "dst")
     return hits.filter(F.contains("_text", "_name")).select("src", "dst").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigraph.operators import pipeline, text
-from filigraph.plans.workloads import _FACES, _FILED, _LATEST, chunks, companies, faces, filed, offers, query
+from filigraph.plans.workloads import _FACES, _FILED, _LATEST, _NORMAL, chunks, companies, faces, filed, offers, query
 from filigraph.sources import exports
 from filigraph.tables import table
 
@@ -51,17 +51,27 @@ def product_binding(s: SparkSession, d: str) -> DataFrame:
     return exports.name_binding(table(s, d, "products"), "name", "productid")
 
 
-@query("""with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) word from documents),
-e as (select 'Company' t, companyid id, name from companies union all select 'Executive', executiveid, name from executives where name is not null),
-n as (select t, id, lower(trim(name)) as name, regexp_extract(lower(name), '^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)', 1) word from e)
-select n.t entity_type, count(distinct n.id || '/' || w.doc_id) n from n join w on w.word = n.word and n.word <> '' join documents d on d.doc_id = w.doc_id where contains(lower(d.text), n.name) group by 1""")
-def entity_mentions(s: SparkSession, d: str) -> DataFrame:
-    """How many chunk mentions each entity type has."""
-    found = {
-        "Company": text.mentions(chunks(s, d), "doc_id", "text", companies(s, d), "name", "companyid"),
-        "Executive": text.mentions(chunks(s, d), "doc_id", "text", table(s, d, "executives"), "name", "executiveid"),
+def mentioned(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Entity type to (src, dst chunk) of its mentions: companies, products, risk factors by name, and metrics by name."""
+    docs = chunks(s, d)
+    named = lambda df: df.filter("name is not null").select("name").distinct()
+    return {
+        "Company": text.mentions(docs, "doc_id", "text", companies(s, d), "name", "companyid"),
+        "Product": text.mentions(docs, "doc_id", "text", table(s, d, "products"), "name", "productid"),
+        "RiskFactor": text.mentions(docs, "doc_id", "text", faces(s, d).select(F.col("dst").alias("name")).distinct(), "name", "name"),
+        "FinancialMetric": text.mentions(docs, "doc_id", "text", named(table(s, d, "financial_metrics")), "name", "name"),
     }
-    return exports.typed_mentions(found).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MENTIONED = f"""w as materialized (select doc_id, {_NORMAL.format("text")} t from documents), nm as (select 'Company' entity_type, companyid id, name from companies union all select 'Product', productid, name from products
+union all select distinct 'RiskFactor', dst, dst from faces union all select distinct 'FinancialMetric', name, name from financial_metrics where name is not null),
+nn as materialized (select entity_type, id, {_NORMAL.format("name")} n from nm where name is not null), mentioned as (select entity_type, id, doc_id from nn, w where n <> ' ' and contains(t, n))"""
+
+
+@query(f"with {_FACES}, {_MENTIONED} select entity_type, count(*) n from mentioned group by 1")
+def entity_mentions(s: SparkSession, d: str) -> DataFrame:
+    """How many chunk mentions each of the four entity types has."""
+    return exports.typed_mentions(mentioned(s, d)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""select element_id, exported_at, coalesce(name, '') as name, array_to_string(list_filter(labels, lambda x: not starts_with(x, '__')), ',') labels, coalesce(array_to_string(list_sort(list_distinct(list_filter(source_chunks, lambda x: x is not null)))[1:3], '; '), '') chunks,
@@ -98,12 +108,12 @@ def metrics_by_period(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("ticker", "period").agg(F.count(F.lit(1)).alias("metrics"), F.count_distinct("name").alias("kinds"))
 
 
-@query("""select productid, left(name, 8) head, case when description is null then 'null' when trim(description) = '' then 'blank' else 'text' end kind, coalesce(companyid, '?') owner, contains(name, 'Anvil') anvil from products where companyid in ('C001', 'C002', 'C017')""")
+@query("""select productid, left(name, 8) head, case when description is null then 'null' when trim(description) = '' then 'blank' else 'text' end kind, coalesce(companyid, '?') owner, contains(name, 'Anvil') anvil, coalesce(companyid in ('C001', 'C002', 'C017'), false) listed from products""")
 def product_projection(s: SparkSession, d: str) -> DataFrame:
     """Projection, cases, defaults and membership over products."""
     kind = F.when(F.col("description").isNull(), "null").when(F.trim("description") == "", "blank").otherwise("text")
-    rows = table(s, d, "products").filter(F.col("companyid").isin("C001", "C002", "C017"))
-    return rows.select("productid", F.left("name", F.lit(8)).alias("head"), kind.alias("kind"), F.coalesce("companyid", F.lit("?")).alias("owner"), F.contains("name", F.lit("Anvil")).alias("anvil"))
+    listed = F.coalesce(F.col("companyid").isin("C001", "C002", "C017"), F.lit(False))
+    return table(s, d, "products").select("productid", F.left("name", F.lit(8)).alias("head"), kind.alias("kind"), F.coalesce("companyid", F.lit("?")).alias("owner"), F.contains("name", F.lit("Anvil")).alias("anvil"), listed.alias("listed"))
 
 
 @query(f"""with {_LATEST} select label, count(*) entities, round(avg(filled), 4) filled, round(sum(coalesce(relationship_count, 0)) / count(*), 4) degree from latest group by 1""")

@@ -209,16 +209,16 @@ def top_positions(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("src").alias("manager"), F.col("dst").alias("company"), "shares", "received_at").orderBy(F.desc("shares"), "manager", "company", "received_at").limit(20)
 
 
-@query("""with p as (select companyid, count(*) n from products group by 1), e as (select companyid, count(*) n from executives group by 1), m as (select companyid, count(*) n from financial_metrics group by 1)
-select c.name company, c.ticker, coalesce(p.n, 0) products, coalesce(e.n, 0) executives, coalesce(m.n, 0) metrics
-from companies c left join p on p.companyid = c.companyid left join e on e.companyid = c.companyid left join m on m.companyid = c.companyid""")
+@query(f"""with {_FACES}, r as (select src companyid, count(*) n from faces group by 1), p as (select companyid, count(*) n from products group by 1), e as (select companyid, count(*) n from executives group by 1), m as (select companyid, count(*) n from financial_metrics group by 1)
+select c.name company, c.ticker, coalesce(r.n, 0) risks, coalesce(p.n, 0) products, coalesce(e.n, 0) executives, coalesce(m.n, 0) metrics
+from companies c left join r on r.companyid = c.companyid left join p on p.companyid = c.companyid left join e on e.companyid = c.companyid left join m on m.companyid = c.companyid""")
 def company_overview(s: SparkSession, d: str) -> DataFrame:
-    """Per company how many products, executives and metrics it has; three optional hops, each counted on its own."""
+    """Per company how many risks, products, executives and metrics it has; optional hops, each counted on its own."""
     own = lambda t, key: table(s, d, t).select(F.col("companyid").alias("src"), F.col(key).alias("dst"))
-    rows = companies(s, d)
+    rows = match.optional_count(companies(s, d), "companyid", faces(s, d), "risks")
     for name, t, key in (("products", "products", "productid"), ("executives", "executives", "executiveid"), ("metrics", "financial_metrics", "metricid")):
         rows = match.optional_count(rows, "companyid", own(t, key), name)
-    return rows.select(F.col("name").alias("company"), "ticker", "products", "executives", "metrics")
+    return rows.select(F.col("name").alias("company"), "ticker", "risks", "products", "executives", "metrics")
 
 
 @query("select c.companyid, c.ticker, count(d.doc_id) chunks, count(distinct d.documentid) documents from companies c left join documents d on d.companyid = c.companyid group by 1, 2")
@@ -253,8 +253,11 @@ def first_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunks(s, d).orderBy(F.asc_nulls_last("chunkindex"), F.asc_nulls_last("documentid"), "doc_id").limit(10).select("documentid", "chunkindex", F.left("text", F.lit(120)).alias("preview"))
 
 
-@query("""with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) word from documents), c as (select companyid, lower(trim(name)) name, regexp_extract(lower(name), '^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)', 1) word from companies)
-select c.companyid, count(distinct w.doc_id) mentions from w join c on c.word = w.word join documents d on d.doc_id = w.doc_id where contains(lower(d.text), c.name) group by 1""")
+_NORMAL = "regexp_replace(' ' || lower({}) || ' ', '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+
+
+@query(f"""with w as materialized (select doc_id, {_NORMAL.format('text')} t from documents), c as materialized (select companyid, {_NORMAL.format('name')} n from companies)
+select companyid, count(*) mentions from w, c where contains(w.t, c.n) group by 1""")
 def company_mentions(s: SparkSession, d: str) -> DataFrame:
     """In how many chunks each company is named in full."""
     edges = text.mentions(chunks(s, d), "doc_id", "text", companies(s, d), "name", "companyid")
@@ -321,11 +324,13 @@ def document_context(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("dst").alias("documentid"), F.col("src").alias("companyid"), joined("r").alias("risks"), joined("p").alias("products"))
 
 
-@query(f"""with {_FACES} select a.dst risk from faces a join faces b on a.dst = b.dst where a.src = 'C001' and b.src = 'C002'""")
+@query(f"""with {_FACES}, {_COMPETES} select k.src company, k.dst rival, f.dst risk from competes k join faces f on f.src = k.src join faces g on g.src = k.dst and g.dst = f.dst""")
 def risks_in_common(s: SparkSession, d: str) -> DataFrame:
-    """Risks that two companies share."""
-    rows = faces(s, d).filter(F.col("src").isin("C001", "C002"))
-    return rows.groupBy(F.col("dst").alias("risk")).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("risk")
+    """Risks that a company shares with a competitor that it names."""
+    edges = competes(s, d).select(F.col("src").alias("company"), F.col("dst").alias("rival"))
+    risk = faces(s, d)
+    own = edges.join(risk.select(F.col("src").alias("company"), F.col("dst").alias("risk")), "company")
+    return own.join(risk.select(F.col("src").alias("rival"), F.col("dst").alias("risk")), ["rival", "risk"], "left_semi").select("company", "rival", "risk")
 
 
 # ---- retrieval ----
@@ -461,7 +466,8 @@ def fulltext_not(s: SparkSession, d: str) -> DataFrame:
 where regexp_full_match(term, '[a-z0-9]+') and levenshtein(term, 'currency') <= 2 group by 1""")
 def fuzzy_terms(s: SparkSession, d: str) -> DataFrame:
     """Words within two edits of a term, with the number of passages that have them."""
-    return fulltext.near_terms(table(s, d, "documents"), "doc_id", "text", "currency").withColumn("edits", F.col("edits").cast("bigint"))
+    near = fulltext.near_terms(table(s, d, "documents"), "doc_id", "text", "currency").filter(F.col("term").rlike("^[a-z0-9]+$"))  # the SQL counts bytes, not letters
+    return near.withColumn("edits", F.col("edits").cast("bigint"))
 
 
 @query("""select label, count(*) hits from (select 'Company' label, name from companies union all select 'Product', name from products union all select 'Executive', name from executives)
@@ -571,12 +577,14 @@ def combine_by_name(s: SparkSession, d: str) -> DataFrame:
     return mutate.combine_by_name(table(s, d, "executives"), "name", ["title", "companyid"])
 
 
-@query("""with n as (select c.companyid, d.documentid from documents d join companies c on c.companyid = d.companyid where d.documentid is not null)
-select distinct companyid, documentid, 'name' how from n""")
+@query("""with d as (select distinct d.documentid, case when c.companyid < 'C200' then c.name end as name, case when c.companyid >= 'C100' then c.cik end cik from documents d join companies c on c.companyid = d.companyid where d.documentid is not null),
+n as (select c.companyid, d.documentid from d join companies c on c.name = d.name), k as (select c.companyid, d.documentid from d join companies c on c.cik = d.cik)
+select distinct companyid, documentid, 'name' how from n union all select distinct companyid, documentid, 'cik' from k where (companyid, documentid) not in (select (companyid, documentid) from n)""")
 def filed_links(s: SparkSession, d: str) -> DataFrame:
-    """Documents linked to companies by name first; the CIK finds nothing that the name has found."""
+    """Documents linked to companies by name first, then by CIK; of three parts of the filers one has its name noted, one its CIK, one both."""
     known = companies(s, d).select(F.col("companyid").alias("companyId"), "name", "cik")
-    docs = chunks(s, d).filter("documentid is not null").join(companies(s, d), "companyid").select(F.col("documentid").alias("documentId"), "name", "cik").distinct()
+    docs = chunks(s, d).filter("documentid is not null").join(companies(s, d), "companyid")
+    docs = docs.select(F.col("documentid").alias("documentId"), F.when(F.col("companyid") < "C200", F.col("name")).alias("name"), F.when(F.col("companyid") >= "C100", F.col("cik")).alias("cik")).distinct()
     return mutate.filed_links(known, docs).select(F.col("companyId").alias("companyid"), F.col("documentId").alias("documentid"), "how")
 
 
@@ -616,18 +624,20 @@ def exact_dedup_survivor(s: SparkSession, d: str) -> DataFrame:
     return resolve.exact_duplicates(_latest(s, d))
 
 
-@query("""with n as (select executiveid id, lower(trim(name)) n from executives where trim(name) <> ''), t as (select executiveid id, lower(trim(split_part(name, ' ', 1))) n from executives where trim(split_part(name, ' ', 1)) <> '')
+@query("""with n as (select min(executiveid) id, lower(trim(name)) n from executives where trim(name) <> '' group by name)
 select a.id a, b.id b, round(length(a.n) / length(b.n), 6) score from n a join n b on a.id <> b.id and starts_with(b.n, a.n) and (length(a.n) < length(b.n) or a.id < b.id) and length(a.n) / length(b.n) >= 0.6 - 1e-9""")
 def prefix_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Executives whose names begin with each other."""
-    return resolve.prefix_pairs(table(s, d, "executives"), "executiveid", "name", 0.6)
+    """Executives whose names begin with each other; equal names are one already."""
+    once = table(s, d, "executives").filter("name is not null").groupBy("name").agg(F.min("executiveid").alias("id"))
+    return resolve.prefix_pairs(once, "id", "name", 0.6)
 
 
-@query(r"""with n as (select executiveid id, lower(list_last(regexp_split_to_array(trim(name), '\s+'))) l, regexp_matches(trim(name), '^(?i)(Mr\.?|Ms\.?|Mrs\.?|Dr\.?|Prof\.?|Sir|Dame)\s+') t from executives where trim(name) <> '')
+@query(r"""with n as (select min(executiveid) id, lower(list_last(regexp_split_to_array(trim(name), '\s+'))) l, regexp_matches(trim(name), '^(?i)(Mr\.?|Ms\.?|Mrs\.?|Dr\.?|Prof\.?|Sir|Dame)\s+') t from executives where trim(name) <> '' group by name)
 select a.id a, b.id b, cast(0.7 as double) score from n a join n b on a.l = b.l and a.t and not b.t""")
 def honorific_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Executives of equal last word of which one has an honorific."""
-    return resolve.honorific_pairs(table(s, d, "executives"), "executiveid", "name")
+    """Executives of equal last word of which one has an honorific; equal names are one already."""
+    once = table(s, d, "executives").filter("name is not null").groupBy("name").agg(F.min("executiveid").alias("id"))
+    return resolve.honorific_pairs(once, "id", "name")
 
 
 @query()
@@ -710,10 +720,11 @@ def embedding_dimensions(s: SparkSession, d: str) -> DataFrame:
     return checks.dimension_counts(table(s, d, "nova_embeddings"), "embedding").select(F.col("dimensions").cast("bigint").alias("dimensions"), "rows")
 
 
-@query("""select documentid, count(*) chunks, min(chunkindex) as first, max(chunkindex) as last from documents group by 1 having min(chunkindex) <> 0 or max(chunkindex) <> count(*) - 1 or count(distinct chunkindex) <> count(*)""")
+@query("""with d as (select documentid, chunkindex from documents where lang = 'en')
+select documentid, count(*) chunks, min(chunkindex) as first, max(chunkindex) as last from d group by 1 having min(chunkindex) <> 0 or max(chunkindex) <> count(*) - 1 or count(distinct chunkindex) <> count(*)""")
 def chunk_gaps(s: SparkSession, d: str) -> DataFrame:
-    """Documents whose chunk indexes have gaps or repeats."""
-    return checks.chunk_gaps(chunks(s, d), "documentid", "chunkindex")
+    """Documents whose chunk indexes have gaps or repeats once passages in other languages than English are left out."""
+    return checks.chunk_gaps(table(s, d, "documents").filter("lang = 'en'"), "documentid", "chunkindex")
 
 
 @query(f"""with {_FACES}, {_OWNS}, {_COMPETES}, t as (select companyid id from products union select companyid from executives union select companyid from financial_metrics union select src from competes union select dst from competes
@@ -724,11 +735,21 @@ def company_orphans(s: SparkSession, d: str) -> DataFrame:
     return checks.orphans(filings_graph(s, d)).filter("label = 'Company'").select("nodes", "orphans")
 
 
-@query(f"""with {_COMPETES} select 'COMPETES_WITH' as type, 'Company' src_label, 'Company' dst_label, count(*) edges from competes where false group by 1""")
+@query(f"""with {_FACES}, {_OWNS}, {_COMPETES}, {_CHAIN}, {_FILED},
+n as (select companyid id, 'Company' l from companies union all select productid, 'Product' from products union all select executiveid, 'Executive' from executives union all select metricid, 'FinancialMetric' from financial_metrics
+union all select distinct dst, 'RiskFactor' from faces union all select distinct managercik, 'AssetManager' from asset_manager_holdings where managercik is not null union all select distinct documentid, 'Document' from documents where documentid is not null
+union all select cast(doc_id as varchar), 'Chunk' from documents),
+e as (select companyid src, productid dst, 'OFFERS' as type from products where companyid is not null union all select companyid, executiveid, 'HAS_EXECUTIVE' from executives where companyid is not null
+union all select companyid, metricid, 'REPORTS' from financial_metrics where companyid is not null union all select src, dst, 'COMPETES_WITH' from competes union all select distinct src, dst, 'OWNS' from owns
+union all select src, dst, 'FACES_RISK' from faces union all select src, dst, 'FILED' from filed union all select cast(doc_id as varchar), documentid, 'FROM_DOCUMENT' from documents where documentid is not null
+union all select cast(src as varchar), cast(dst as varchar), 'NEXT_CHUNK' from chain union all select sourcecompanyid, targetcompanyid, 'PARTNERS_WITH' from company_competitors where targetcompanyid <> ''),
+ok as (select * from (values ('OFFERS', 'Company', 'Product'), ('HAS_EXECUTIVE', 'Company', 'Executive'), ('REPORTS', 'Company', 'FinancialMetric'), ('COMPETES_WITH', 'Company', 'Company'), ('OWNS', 'AssetManager', 'Company'), ('FACES_RISK', 'Company', 'RiskFactor'),
+('FILED', 'Company', 'Document'), ('FROM_DOCUMENT', 'Chunk', 'Document'), ('NEXT_CHUNK', 'Chunk', 'Chunk'), ('PARTNERS_WITH', 'Company', 'Company')) t(type, a, b))
+select e.type, x.l src_label, y.l dst_label, count(*) edges from e left join n x on x.id = e.src left join n y on y.id = e.dst where not exists (select 1 from ok where ok.type = e.type and ok.a = x.l and ok.b = y.l) group by 1, 2, 3""")
 def schema_violations(s: SparkSession, d: str) -> DataFrame:
-    """Edges whose ends the schema does not allow: none, by construction of the graph."""
-    graph = Graph({"Company": companies(s, d), "Product": table(s, d, "products").select("productid", "name")}, {"COMPETES_WITH": competes(s, d), "OFFERS": mutate.merge_edges(offers(s, d), companies(s, d), "companyid", table(s, d, "products"), "productid")})
-    return checks.wrong_ends(graph)
+    """Edges of the whole graph whose ends the schema does not allow; competitor rows as typed stand in for partners, whose ends nobody has checked."""
+    typed = table(s, d, "company_competitors").filter("targetcompanyid <> ''").select(F.col("sourcecompanyid").alias("src"), F.col("targetcompanyid").alias("dst"))
+    return checks.wrong_ends(filings_graph(s, d).with_edges("PARTNERS_WITH", typed))
 
 
 # ---- star tables as a graph ----
