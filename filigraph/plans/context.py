@@ -155,11 +155,11 @@ def chunk_walk_limited_last(s: SparkSession, d: str) -> DataFrame:
     return joined.orderBy(F.asc_nulls_last("chunkindex"), "documentid", "doc_id").limit(40).select("documentid", F.col("chunkindex").alias("idx"), F.left("text", F.lit(80)).alias("preview"), "next_idx")
 
 
-@query(f"""with {_FACES}, {_MENTIONED} select p.name product, count(distinct m.doc_id) mentions from mentioned m join products p on p.productid = m.id where m.entity_type = 'Product' group by 1 order by mentions desc, product limit 10""")
-def products_by_mentions(s: SparkSession, d: str) -> DataFrame:
-    """The ten products that most chunks name."""
-    rows = mentioned(s, d)["Product"].join(table(s, d, "products").select(F.col("productid").alias("src"), F.col("name").alias("product")), "src")
-    return rows.groupBy("product").agg(F.count_distinct("dst").alias("mentions")).orderBy(F.desc("mentions"), "product").limit(10)
+@query(f"""with {_FACES}, {_MENTIONED} select entity_type, id, count(*) mentions from mentioned group by 1, 2 order by mentions desc, entity_type, id limit 10""")
+def entities_by_mentions(s: SparkSession, d: str) -> DataFrame:
+    """The ten entities that most chunks name, of whatever type."""
+    rows = exports.typed_mentions(mentioned(s, d)).groupBy("entity_type", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("mentions"))
+    return rows.orderBy(F.desc("mentions"), "entity_type", "id").limit(10)
 
 
 @query(f"""with {_FACES}, {_FILED}, p as (select companyid, count(*) n from products group by 1), r as (select src, count(*) n from faces group by 1), f as (select src, count(*) n from filed group by 1)
