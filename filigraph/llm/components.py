@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from filigraph.sources.files import numbered
 from filigraph.tables import cut, drop_cut
 
 #: Verdicts that say "merge" once letter case, blanks, quotes and marks are dropped.
@@ -43,6 +44,18 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) ->
     ends = ends.filter(F.col("v").isNotNull() & F.col("u").isNotNull() & (F.col("v") != F.col("u")))
     if dict(ends.dtypes)["v"] == "string":
         ends = ends.filter((F.trim("v") != "") & (F.trim("u") != ""))
+    if dict(ends.dtypes)["v"] != "string":
+        return _rounds(ends, max_rounds)
+    # numbers in the order of the ids: minima, joins and shuffles of the rounds are over 8 bytes each
+    ids = cut(numbered(ends.select(F.explode(F.array("v", "u")).alias("id")).distinct(), ["id"], "n"))
+    name = lambda old, new: ids.select(F.col("id").alias(new), F.col("n").alias(old))
+    coded = ends.distinct().join(ids.select(F.col("id").alias("v"), F.col("n").alias("a")), "v").join(ids.select(F.col("id").alias("u"), F.col("n").alias("b")), "u").select(F.col("a").alias("v"), F.col("b").alias("u"))
+    found = _rounds(coded, max_rounds).withColumnsRenamed({"group_id": "g", "element_id": "e"})
+    return found.join(name("e", "element_id"), "e").join(name("g", "group_id"), "g").select("group_id", "element_id")
+
+
+def _rounds(ends: DataFrame, max_rounds: int) -> DataFrame:
+    """(group_id, element_id) of the edges ``ends`` (v, u), by rounds of hash-to-min."""
     row = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
     every = ends.select(F.explode(F.array(row("v", "u"), row("u", "v"), row("v", "v"), row("u", "u"))).alias("e")).select("e.v", "e.u").distinct()
     state, rows = counted_cut(every)
