@@ -59,6 +59,11 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all shuffle partitions, for rows that are small but cost much to work on, so that no task gets them all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their Python workers can import it."""
     context = spark.sparkContext
