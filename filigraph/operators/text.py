@@ -50,7 +50,7 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
             full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
             row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
             sign = np.where((codes >> 16) % 2 == 0, 1.0, -1.0)
-            sums = np.bincount((row * width + codes % width)[full], weights=sign[full], minlength=len(texts) * width).reshape(len(texts), width)
+            sums = np.bincount((row * width + codes % width)[full], weights=sign[full], minlength=len(texts) * width).astype(np.float64).reshape(len(texts), width)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             sums = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0).astype(np.float32)
             yield pd.Series([None if t is None else v for t, v in zip(texts, sums, strict=True)], dtype=object)

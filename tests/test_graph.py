@@ -162,7 +162,8 @@ def test_texts(spark):
     vec = spark.createDataFrame([("Cash flow",), ("",)], "t string").select(text.hashed_embedding(F.col("t"), 16).alias("v")).collect()
     assert sum(x * x for x in vec[0].v) == pytest.approx(1, abs=1e-6) and not any(vec[1].v)
     names = spark.createDataFrame([("p", "Acme Corp"), ("q", "Other"), ("r", None)], "k string, n string")
-    assert pairs(text.mentions(spark.createDataFrame([(1, "we met acme corp. twice")], "id int, t string"), "id", "t", names, "n", "k")) == [("p", 1)]
+    found = [(1, "we met acme corp. twice"), (2, "Acme-Corp"), (3, "acme corporate"), (4, None), (5, "corp acme"), (6, "Other")]
+    assert pairs(text.mentions(spark.createDataFrame(found, "id int, t string"), "id", "t", names, "n", "k")) == [("p", 1), ("p", 2), ("q", 6)]
 
 
 def test_resolution(spark):
@@ -272,3 +273,16 @@ def test_expressions(spark):
     row = spark.createDataFrame([("Amazon", "```json\n{}\n```", "a b/c", "  x \t y ")], "n string, j string, f string, w string")
     got = row.select(X.canonical_name(F.col("n"), X.FILER_NAMES).alias("n"), X.unfenced(F.col("j")).alias("j"), X.safe_file_name(F.col("f")).alias("f"), X.collapsed(F.col("w")).alias("w"), X.first_filled(F.lit(" "), F.col("n")).alias("c")).first()
     assert tuple(got) == ("Amazon.com, Inc.", "{}", "a_b_c", "x y", "Amazon")
+
+
+def test_labels_lists_and_filers(spark):
+    nodes = spark.createDataFrame([("a", "A", ["X"])], "id string, name string, labels array<string>")
+    rows = spark.createDataFrame([("a", "1", ["Y"], 1), ("a", "2", ["X", "Z"], 2), ("b", "3", ["Y"], 1), (None, "n", ["Q"], 1)], "id string, name string, labels array<string>, n int")
+    got = {r.id: (r.name, r.labels) for r in mutate.merge_and_label(nodes, rows, "id", "labels", F.col("n")).collect()}
+    assert got == {"a": ("2", ["X", "Y", "Z"]), "b": ("3", ["Y"])}
+    named = spark.createDataFrame([("1", "Acme"), ("2", "Acme Corp"), ("3", "Acme"), ("4", None)], "id string, name string")
+    assert pairs(mutate.listed_merges(named, "id", "name", [("Acme", "Acme Corp"), ("Nobody", "Acme")])) == [("1", "2")]
+    texts = spark.createDataFrame([('Blue Harbor, Inc. (the "Company") is', None), ("Acme Holdings Corp of Ohio", {"filing_company": " "}), ("no name", {"company": "X"}), (None, None)], "t string, p map<string,string>")
+    assert [r.c for r in texts.select(X.associated_company(F.col("p"), F.col("t")).alias("c")).collect()] == ["Blue Harbor, Inc.", "Acme Holdings Corp", "X", "unknown"]
+    lists = [spark.createDataFrame(x, "k string, score double") for x in ([("a", 0.9), ("b", 0.8)], [("b", 5.0), ("c", 4.0)])]
+    assert [r.k for r in fulltext.reciprocal_ranks(lists, "k", 2).collect()] == ["b", "a"]
