@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,24 @@ def round_trip_differences(before: DataFrame, after: DataFrame, key: str, text:
 def dimension_counts(df: DataFrame, vector: str) -> DataFrame:
     """(dimensions, rows): how many vectors have each length; null vectors count as -1."""
     return df.groupBy(F.coalesce(F.size(vector), F.lit(-1)).alias("dimensions")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merge_checks(nodes: DataFrame, name: str, unique: list[str], separate: list[tuple[str, str]]) -> DataFrame:
+    """(kind, name, other, status): names that one node must have, and pairs of names that must stay apart.
+
+    ``PASS`` or ``FAIL``; ``SKIP`` where no node has the name, or where one name of a pair is missing.
+    """
+    spark = nodes.sparkSession
+    held = nodes.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in unique], "name string"))  # a fixed list
+    once = wanted.join(held, "name", "left").select(F.lit("unique").alias("kind"), "name", F.lit(None).cast("string").alias("other"), F.when(F.col("n").isNull(), "SKIP").when(F.col("n") == 1, "PASS").otherwise("FAIL").alias("status"))
+    pairs = F.broadcast(spark.createDataFrame(separate, "name string, other string"))
+    both = pairs.join(held, "name", "left").join(held.select(F.col("name").alias("other"), F.col("n").alias("m")), "other", "left")
+    apart = both.select(F.lit("separate").alias("kind"), "name", "other", F.when(F.col("n").isNull() | F.col("m").isNull(), "SKIP").when(F.col("name") != F.col("other"), "PASS").otherwise("FAIL").alias("status"))
+    return once.unionByName(apart)
+
+
+def search_checks(results: dict[str, DataFrame], answer: str) -> DataFrame:
+    """(retriever, hits, answered, status) of several retrievers: ``PASS`` with a hit and an answer (column ``answer``) that is not blank."""
+    found = [df.agg(F.lit(n).alias("retriever"), F.count(F.lit(1)).alias("hits"), F.count_if(F.coalesce(F.trim(F.col(answer)) != "", F.lit(False))).alias("answered")) for n, df in results.items()]
+    return reduce(DataFrame.unionByName, found).withColumn("status", F.when((F.col("hits") > 0) & (F.col("answered") > 0), "PASS").otherwise("FAIL"))

@@ -166,6 +166,35 @@ def name_differences(a: DataFrame, b: DataFrame, name: str, body: str) -> DataFr
     return x.join(y, name, "full_outer").select(name, where.alias("where"), F.when(where == "both", length).alias("length"))
 
 
+def run_counters(entities: int, candidates: DataFrame, decisions: DataFrame, groups: DataFrame, merges: DataFrame) -> DataFrame:
+    """One row of counters of a resolution run.
+
+    ``candidates`` (a, b, score), ``decisions`` (decision, confidence; a null decision was never evaluated), ``groups`` (component,
+    status, ...) and ``merges`` (id, survivor).
+    """
+    c = candidates.agg(F.count(F.lit(1)).alias("candidates"), F.round(F.avg("score"), 6).alias("mean_score"))
+    said = lambda x: F.count_if(F.col("decision") == x)
+    d = decisions.agg(
+        said("merge").alias("merge_decisions"), said("no_merge").alias("no_merge_decisions"), F.count_if(F.col("decision").isNull()).alias("unevaluated"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+    )
+    per = groups.groupBy("component", "status").agg(F.count(F.lit(1)).alias("n"))
+    state = lambda x: F.count_if(F.col("status") == x)
+    g = per.agg(F.count(F.lit(1)).alias("groups"), state("ready").alias("ready"), state("needs_confirmation").alias("needs_confirmation"), state("flagged").alias("flagged"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    m = merges.agg(F.count(F.lit(1)).alias("merged"), F.count_distinct("survivor").alias("survivors"))
+    out = c.crossJoin(d).crossJoin(g).crossJoin(m)  # one row each
+    return out.select(F.lit(entities).cast("bigint").alias("entities"), "*", (F.lit(entities) - F.col("merged")).alias("remaining"))
+
+
+def compared_runs(runs: DataFrame) -> DataFrame:
+    """``runs`` with an overall score, best first: more ground truth met, then more expected merges, then the older run.
+
+    ``runs`` has expected_met, expected, forbidden_met, forbidden (counts of ground-truth checks) and created_at. The list of runs
+    is short, so it is sorted as a whole.
+    """
+    overall = F.try_divide(F.col("expected_met") + F.col("forbidden_met"), F.col("expected") + F.col("forbidden"))
+    return runs.withColumn("overall", F.round(overall, 6)).orderBy(F.desc_nulls_last("overall"), F.desc("expected_met"), "created_at")
+
+
 def triple_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """(src, type, dst, where): triples of two extractions in ``both``, ``only_a`` or ``only_b``."""
     key = ["src", "type", "dst"]
@@ -255,11 +284,14 @@ def schema_summary(graph: Graph) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, column string, type string")
 
 
-#: Parameterised look-ups over the tables ``companies``, ``products``, ``metrics`` and ``documents``.
+#: Parameterised look-ups over the tables ``companies``, ``products``, ``metrics``, ``risks``, ``owns`` and ``documents``.
 TEMPLATES = {
     "company_details": "select companyid, name, ticker, cik, cusip from companies where name = :name",
     "company_products": "select p.name from products p join companies c on c.companyid = p.companyid where c.name = :name",
     "company_metrics": "select m.name, m.value, m.period from metrics m join companies c on c.companyid = m.companyid where c.name = :name",
+    "company_risks": "select distinct r.name, r.description from risks r join companies c on c.name = r.company where c.name = :name",
+    "companies_of_manager": "select distinct c.name, c.ticker from owns o join companies c on c.companyid = o.dst where o.src = :id",
+    "shared_risks": "select distinct a.name from risks a join risks b on b.name = a.name where a.company = :name and b.company = :other",
     "documents_by_company": "select distinct d.documentid from documents d join companies c on c.companyid = d.companyid where c.companyid = :id or c.ticker = :id or c.cik = :id",
 }
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigraph.graph import Graph
+from filigraph.operators import checks
 from filigraph.operators import pipeline as P
 from filigraph.streaming.upserts import newest, upsert_stream
 
@@ -117,3 +118,36 @@ def test_cleanse_keeps_properties_and_other_labels(spark):
     plan = P.CleansePlan(make([], "id string"), make([("2", "1"), ("3", "3")], "id string, survivor string"), make([("1", "w")], "id string, after string"))
     out = P.apply_cleanse(graph, "Company", "note", plan)
     assert pairs(out.edges["OWNS"]) == [("2", "1", 10), ("2", "3", 30)] and {r.companyId: r.note for r in out.nodes["Company"].collect()} == {"1": "w", "3": "z"}
+
+
+def test_run_counters_and_comparison(spark):
+    make = spark.createDataFrame
+    candidates = make([("a", "b", 0.5), ("a", "c", 1.0)], "a string, b string, score double")
+    decisions = make([("merge", 0.9), ("no_merge", None), (None, None)], "decision string, confidence double")
+    groups = make([("a", "ready", "a"), ("a", "ready", "b"), ("c", "flagged", "c")], "component string, status string, element_id string")
+    got = P.run_counters(9, candidates, decisions, groups, make([("b", "a")], "id string, survivor string")).first().asDict()
+    assert got == {
+        "entities": 9, "candidates": 2, "mean_score": 0.75, "merge_decisions": 1, "no_merge_decisions": 1, "unevaluated": 1, "mean_confidence": 0.9, "groups": 2, "ready": 1, "needs_confirmation": 0, "flagged": 1, "largest": 2, "merged": 1, "survivors": 1,
+        "remaining": 8,
+    }
+    empty = P.run_counters(0, candidates.limit(0), decisions.limit(0), groups.limit(0), make([], "id string, survivor string")).first()
+    assert empty.candidates == empty.groups == empty.largest == empty.merged == 0
+    runs = make([("x", 6, 6, 3, 4, 2), ("y", 6, 6, 4, 4, 3), ("z", 5, 6, 4, 4, 1), ("w", 6, 6, 3, 4, 1)], "run string, expected_met int, expected int, forbidden_met int, forbidden int, created_at int")
+    assert [r.run for r in P.compared_runs(runs).collect()] == ["y", "w", "x", "z"]
+
+
+def test_merge_and_search_checks(spark):
+    nodes = spark.createDataFrame([("1", "Apple"), ("2", "Apple"), ("3", "PayPal"), ("4", "PayPal (Europe)"), ("5", None)], "id string, name string")
+    got = pairs(checks.merge_checks(nodes, "name", ["Apple", "PayPal", "Nobody"], [("PayPal", "PayPal (Europe)"), ("PayPal", "Nobody")]).select("kind", "name", F.coalesce("other", F.lit("")), "status"))
+    assert got == [("separate", "PayPal", "Nobody", "SKIP"), ("separate", "PayPal", "PayPal (Europe)", "PASS"), ("unique", "Apple", "", "FAIL"), ("unique", "Nobody", "", "SKIP"), ("unique", "PayPal", "", "PASS")]
+    hits = spark.createDataFrame([("a", "text"), ("b", " ")], "id string, answer string")
+    assert pairs(checks.search_checks({"vector": hits, "none": hits.limit(0), "blank": hits.filter("id = 'b'")}, "answer")) == [("blank", 1, 0, "FAIL"), ("none", 0, 0, "FAIL"), ("vector", 2, 1, "PASS")]
+
+
+def test_more_lookups(spark):
+    companies = spark.createDataFrame([("C1", "Acme", "AC", "1", "2"), ("C2", "Bolt", "BO", "3", "4")], "companyid string, name string, ticker string, cik string, cusip string")
+    risks = spark.createDataFrame([("fire", "x", "Acme"), ("flood", "y", "Acme"), ("fire", "z", "Bolt")], "name string, description string, company string")
+    tables = {"companies": companies, "risks": risks, "owns": spark.createDataFrame([("M", "C2", 1), ("M", "C2", 2)], "src string, dst string, shares int")}
+    assert pairs(P.lookup(spark, "company_risks", tables, name="Acme")) == [("fire", "x"), ("flood", "y")]
+    assert pairs(P.lookup(spark, "shared_risks", tables, name="Acme", other="Bolt")) == [("fire",)]
+    assert pairs(P.lookup(spark, "companies_of_manager", tables, id="M")) == [("Bolt", "BO")]
