@@ -42,11 +42,11 @@ def company_metadata(rows: DataFrame, path: str, order: Column) -> DataFrame:
     return last_per_key(named, ["file"], order)
 
 
-def latest_path(spark: SparkSession, folder: str, prefix: str) -> str | None:
-    """The greatest path in ``folder`` whose name begins with ``prefix``; time stamps in names sort by time."""
+def latest_path(spark: SparkSession, folder: str, prefix: str, below: str | None = None) -> str | None:
+    """The greatest path in ``folder`` whose name begins with ``prefix`` (and comes before ``below``); time stamps in names sort by time."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = [str(s.getPath()) for s in at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)]
-    named = [p for p in found if p.rsplit("/", 1)[-1].startswith(prefix)]
+    named = [p for p in found if (name := p.rsplit("/", 1)[-1]).startswith(prefix) and (below is None or name < below)]
     return max(named, default=None)
 
 

@@ -18,10 +18,10 @@ def upsert_stream(rows: DataFrame, folder: str, key: str, order: Column, checkpo
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        name = f"{folder}/v_{number:012}"
-        old = [p for p in (latest_path(spark, folder, f"v_{n:012}") for n in range(number - 1, -1, -1)) if p][:1] if number else []
-        base = spark.read.parquet(old[0]) if old else batch.limit(0)
-        merge_nodes(base, batch, key, order).select(*batch.columns).write.mode("overwrite").parquet(name)
+        name = f"v_{number:012}"
+        old = latest_path(spark, folder, "v_", below=name)  # a batch that runs again starts from the version before it
+        base = spark.read.parquet(old) if old else batch.limit(0)
+        merge_nodes(base, batch, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
