@@ -2,6 +2,8 @@
 
 import math
 import os
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -45,6 +47,28 @@ def test_hot_shard_is_cut(spark, monkeypatch):
     assert recall(spark, clustered(1500, seed=3), 1.0, 1500) > 0.9999
 
 
+def test_waves_of_neighbours(spark, monkeypatch):
+    """Many waves, blocks of one shard among them, miss nothing; the disk in use follows the vectors, not the questions."""
+    monkeypatch.setattr(neighbours, "WAVE_ROWS", 700, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 500)
+    x = clustered(3000, seed=11)
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    folders = [spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), *disk.localDirsString()]
+    total = lambda: sum(p.stat().st_size for d in folders for kind in ("*.parquet", "shuffle_*.data") for p in Path(d).rglob(kind) if p.exists())
+    used, write, start = [], neighbours.cut, total()
+
+    def measured(*a, **k):
+        out = write(*a, **k)
+        time.sleep(0.3)
+        used.append(total() - start)
+        return out
+
+    monkeypatch.setattr(neighbours, "cut", measured)
+    assert recall(spark, x, 1.0, 1600) > 0.9999
+    assert max(used) < 3 * 256 * len(x), (max(used), 256 * len(x))
+    assert neighbours.waves({0: 10, 1: 10, 2: 10}, {0: 5, 1: 5, 2: 1300}, {0: 1, 1: 1, 2: 2}, 1000) == [(0, 1, 0, 0), (2, 2, 0, 0), (2, 2, 1, 1), (2, 2, 2, 2)]
+
+
 def test_router_of_several_stages(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "STAGE_LEVELS", 2)
     monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 400)
