@@ -2,18 +2,19 @@
 
 The dictionary holds, of every word of a reference and of all its sorted words joined, every form that deleting up to
 ``max_edits`` letters gives. Typed words are expanded the same way, so a lookup is an equi-join on deleted forms,
-broadcast only when the dictionary's counted size allows it and shuffled otherwise. Candidates are verified by
+broadcast only when the dictionary's counted size allows it and shuffled otherwise; shortened words have keys of their
+own. All pairs of words that the comparison accepts are found, so one word of a typed name leads to all of its candidates. Candidates are verified by
 Damerau–Levenshtein, must not say anything that the reference does not (a subsidiary or namesake does), must take the
 words that tell the reference from others, and are ranked by weighted distance, then reference frequency.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigraph.llm import names
@@ -22,8 +23,6 @@ from filigraph.tables import cut, small_enough, spread
 UNMATCHED = "UNMATCHED"
 #: A dictionary of at most so many rows (some 50 bytes each) is broadcast, a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: A second typed word is looked up too if it leads to at most so many references; what it costs beyond the first is bounded by that.
-LEADS = 10
 #: The distance of a word that shortens another.
 SHORTENED = 0.3
 _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -95,6 +94,44 @@ def near_words(typed: DataFrame, reference: DataFrame, max_edits: int) -> DataFr
     return looked_up.join(dictionary, "form").select("word", "ref_word").distinct().filter(near("word", "ref_word"))
 
 
+def shortening_keys(word: str, probe: bool) -> set[str]:
+    """Keys of a reference word, or with ``probe`` of a typed one; a typed word that shortens a reference, with a slip too, shares one.
+
+    First letter, last sound and up to two inner letters for a word without inner letters; beginnings with up to one letter
+    left out for a word cut off (of longer words two stretches, of which one slip leaves one as it is, moved by one at most).
+    """
+    inner, last = (word[1:-1], word[-1:]) if probe else ((x := word.rstrip("aeiou"))[1:-1], x[-1:])
+    firsts = {inner[:2]} if probe else {"", *inner, *(c + d for i, c in enumerate(inner[:-1]) for d in set(inner[i + 1 :]))}
+    keys = {f"{word[:1]}{last}:{x}" for x in firsts}
+    for n in [len(word)] if probe else range(1, min(len(word) - 1, names.LONG + 5) + 1):
+        keys |= {"~" + x for x in names.deletes(word[:n], 1)} if n <= names.LONG + 5 else set()
+    if len(word) > names.LONG + 4:
+        keys |= {"<" + word[:7], *(">" + word[12 + move : 19 + move] for move in ([0] if probe else (-1, 0, 1)))}
+    return keys
+
+
+def shortened_words(typed: DataFrame, reference: DataFrame) -> DataFrame:
+    """(word, ref_word) of typed words that shorten reference words (column ``word`` of each), with a slip too if cut off."""
+
+    def keyed(probe: bool) -> Callable[[Column], Column]:
+        @F.pandas_udf("array<string>")
+        def keys(words: pd.Series) -> pd.Series:
+            return pd.Series([sorted(shortening_keys(w, probe)) for w in words], dtype=object)
+
+        return keys
+
+    @F.pandas_udf("boolean")
+    def shortens(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([names.shortens(x, y) or names.shortens_nearly(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    dictionary = reference.select(F.col("word").alias("ref_word")).filter("length(ref_word) > 3").distinct().select("ref_word", F.explode(keyed(False)("ref_word")).alias("form"))
+    looked_up = spread(typed.select("word").filter("length(word) > 1").distinct()).select("word", F.explode(keyed(True)("word")).alias("form"))
+    if small_enough(dictionary, BROADCAST_ROWS):
+        dictionary = F.broadcast(dictionary)
+    pairs = looked_up.join(dictionary, "form").filter("length(ref_word) > length(word) + 1").select("word", "ref_word").distinct()
+    return pairs.filter(shortens("word", "ref_word"))
+
+
 def typed_distance(typed: names.Said, ref: names.Said, weights: list[float], max_edits: int) -> float | None:
     """How far a typed name is from a reference that says all it says; None if it says something else or too little.
 
@@ -130,20 +167,24 @@ def _blank(x: str) -> F.Column:
 
 def named_companies(entries: DataFrame, listed: DataFrame, max_edits: int) -> DataFrame:
     """(typed_name, by_name): the listed company that each of the ``entries`` (typed_name, n) names, if there is one."""
-    word_or_all = F.explode(F.array_distinct(F.array_append("words", F.concat_ws("", "words"))))
+    joined = F.concat_ws("", "words")
     spelt = cut(names.parsed(spread(entries.select("typed_name").distinct().filter("typed_name <> ''")), "typed_name", F.lit("C")).filter(F.size("words") > 0))
     known = names.parsed(listed.filter("name is not null").select("companyid", "name"), "name", F.lit("C")).filter(F.size("words") > 0).drop("name")
     known = cut(known)
-    terms = cut(known.select("companyid", word_or_all.alias("word")))
-    held = terms.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
-    asked = cut(spelt.select("typed_name", word_or_all.alias("word")))
-    near = near_words(asked, held, max_edits).join(held.withColumnRenamed("word", "ref_word"), "ref_word")
-    near = cut(near)
-    # every typed word must be met, so the two that lead to the fewest references are enough
-    leads = asked.join(near.groupBy("word").agg(F.sum("held").alias("leads")), "word")
-    ways = leads.groupBy("typed_name").agg(F.slice(F.array_sort(F.collect_list(F.struct("leads", "word"))), 1, 2).alias("w"))
-    ways = ways.select("typed_name", F.posexplode("w").alias("at", "w")).filter((F.col("at") == 0) | (F.col("w.leads") <= LEADS)).select("typed_name", "w.word")
-    names_met = ways.join(near, "word").join(terms.withColumnRenamed("word", "ref_word"), "ref_word").select("typed_name", "companyid").distinct()
+    terms = cut(known.select("companyid", F.explode("words").alias("ref_word")))
+    counts = terms.groupBy("ref_word").agg(F.count(F.lit(1)).alias("n"))
+    held = known.select("companyid", F.explode(F.array_distinct(F.array_append("words", joined))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    asked = cut(spelt.select("typed_name", F.explode("words").alias("word")))
+    listed_words = counts.select(F.col("ref_word").alias("word"))
+    met_words = cut(near_words(asked, listed_words, max_edits).union(shortened_words(asked, listed_words)).distinct().join(counts, "ref_word"))
+    # every typed word must be met in one of these ways, so the one that leads to the fewest references misses none
+    leads = asked.join(met_words.groupBy("word").agg(F.sum("n").alias("leads")), "word", "left")
+    ways = leads.groupBy("typed_name").agg(F.min(F.struct("leads", "word")).alias("w"), F.bool_and(F.col("leads").isNotNull()).alias("all_met")).filter("all_met").select("typed_name", "w.word")
+    by_word = ways.join(met_words, "word").join(terms, "ref_word").select("typed_name", "companyid")
+    # names typed together or apart are compared as one word
+    one, ones = spelt.select("typed_name", joined.alias("word")), known.select("companyid", joined.alias("ref_word"))
+    as_one = cut(near_words(one, ones.select(F.col("ref_word").alias("word")), max_edits))
+    names_met = by_word.union(one.join(as_one, "word").join(ones, "ref_word").select("typed_name", "companyid")).distinct()
     size = known.count()
     weight = F.log(1 + F.lit(float(size)) / F.col("held"))
     weighed = known.select("companyid", F.explode("words").alias("word")).join(held, "word").groupBy("companyid").agg(F.map_from_entries(F.collect_list(F.struct("word", weight.alias("w")))).alias("weights"))

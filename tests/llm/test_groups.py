@@ -1,6 +1,7 @@
 """Components, survivors, canonical mapping and spelling variants against plain versions, and their edge cases."""
 
 import datetime as dt
+import math
 import os
 import random
 
@@ -163,6 +164,35 @@ def test_canonical_unseen_vocabulary(spark):
     assert got == {i: want for i, (_, want) in enumerate(typed)}
 
 
+def test_candidates_against_double_loop(spark):
+    """Words with wrong neighbours only, shortened words and common ones lose no reference."""
+    listed = ["Blue Robotics Mineral Ltd", "Rbtcz Foods Inc", "Mnrk Tools plc", "Internationally Automated Robotics", "Blueharbor Cargo", *(f"Blue {w.title()} {t.title()}" for w, t in zip(WORDS, TRADES, strict=False))]
+    typed = ["Blue Rbtcs Mnrl", "Rbtcs Mnrl", "Internationaly Autmtd Rbtcs", "Intrenat Automat Robot", "Blue Harbor Crgo", "Blu Harbor Cargo", "Blue Cdr Millnry", "Blue", "Rbtcs Tools", "Mnrk", *(slip(random.Random(i), n.replace(" ", "")) for i, n in enumerate(listed))]
+    entries = spark.createDataFrame([(n, 1) for n in typed], "typed_name string, n long")
+    companies = spark.createDataFrame([(f"C{i:02}", n) for i, n in enumerate(listed)], "companyid string, name string")
+    got = {r.typed_name: r.by_name for r in canonical.named_companies(entries, companies, 2).collect()}
+    said = {f"C{i:02}": names.read_company(n) for i, n in enumerate(listed)}
+    held = {}
+    for words, *_ in said.values():
+        for w in {*words, "".join(words)}:
+            held[w] = held.get(w, 0) + 1
+    want = {}
+    for n in typed:
+        near = {c: canonical.typed_distance(names.read_company(n), s, [math.log(1 + len(said) / held[w]) for w in s[0]], 2) for c, s in said.items()}
+        if near := {c: d for c, d in near.items() if d is not None}:
+            want[n] = {c for c, d in near.items() if d == min(near.values())}
+    assert set(got) == set(want) and all(got[n] in want[n] for n in got)
+    assert {got.get(n) for n in typed[:2]} == {"C00"} and got.get(typed[2]) == "C03"
+
+
+def test_shortening_keys_keep_pairs():
+    rng = random.Random(8)
+    refs = [*WORDS, *TRADES, "internationalization", "electromagnetohydrodynamics" * 2]
+    typed = {w[:n] for w in refs for n in range(2, len(w))} | {slip(rng, w[:n]) for w in refs for n in range(5, len(w)) for _ in range(4)} | {w[0] + "".join(c for c in w[1:] if rng.random() < 0.5) for w in refs for _ in range(20)}
+    pairs = [(a, b) for a in typed for b in refs if names.shortens(a, b) or names.shortens_nearly(a, b)]
+    assert len(pairs) > 500 and all(canonical.shortening_keys(a, True) & canonical.shortening_keys(b, False) for a, b in pairs)
+
+
 def test_distances():
     assert names.osa("abcd", "abdc") == 1 and names.osa("abc", "xyz", 2) == 3 and names.osa("", "ab") == 2
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and names.jaro_winkler("a", "b") == 0
