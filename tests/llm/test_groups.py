@@ -87,6 +87,18 @@ def test_fusion_discounts_copies(spark):
     assert got["Z"] == "T" and got["G0"] == "T"
 
 
+def test_fusion_runs_where_it_decides(spark, monkeypatch, tmp_path):
+    """Rows by rank do not wait for the fusion; the record that a fused value is taken from claims it."""
+    rows = [entity(f"{g}{s}", name=f"G{g}", props={"company": s, "v": v}, rel=9 if s == "bad" else 1) for g in range(12) for s, v in (("good", "T"), ("fair", "T"), ("third", "T"), ("bad", f"F{g}"), ("copy", f"F{g}"))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/snapshot_entities.parquet")
+    got = {r.name: r for r in survivors.fused_values(df).filter("prop = 'v'").collect()}
+    assert all((r.donor_id, r.value, r.fused_donor_id, r.fused_value) == (f"{n[1:]}bad", f"F{n[1:]}", f"{n[1:]}fair", "T") for n, r in got.items()) and len(got) == 12
+    by_rank = sorted((r.survivor_id, r.prop, r.donor_id) for r in survivors.group_survivors(df).collect())
+    monkeypatch.setattr(survivors, "scored_values", lambda *a: pytest.fail("the fusion ran for nothing"))
+    assert sorted((r.survivor_id, r.prop, r.donor_id) for r in queries.p6_found(spark, str(tmp_path)).collect()) == by_rank
+
+
 def test_pair_counts_against_double_loop(spark, monkeypatch):
     monkeypatch.setattr(survivors, "SLICE_PAIRS", 50)
     rng = random.Random(2)
